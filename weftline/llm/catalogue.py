@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import q_quality
+from weftline.llm import q_chat, q_exact, q_quality
 
-_MODULES = (q_quality,)
+_MODULES = (q_quality, q_exact, q_chat)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
