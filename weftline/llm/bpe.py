@@ -228,7 +228,7 @@ def codec(path: str) -> tuple[WordCache, StreamDecoder, list[bytes]]:
     token = [b""] * (max(ranks.values()) + 1)
     for data, i in ranks.items():
         token[i] = data
-    cache = WordCache(public_tokenizers.PATTERN, lambda ws: [machine.encode(w.encode()) for w in ws], limit=250_000)
+    cache = WordCache(public_tokenizers.PATTERN, lambda w: machine.encode(w.encode()), limit=250_000)
     return cache, StreamDecoder(token), [b"%d" % i for i in range(len(token))]
 
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 from weftline.llm.wordcache import WordCache
 
 #: Texts of at most so many characters are encoded together.
@@ -36,29 +35,20 @@ def encoder(path: str) -> WordCache:
     """The worker's encoder for a tokenizers file, equal to ``encode(text, add_special_tokens=False)``."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
-    from tokenizers import Tokenizer, pre_tokenizers
+    from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    by_word = Tokenizer.from_file(path)
-    by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # words come cut, in byte letters
+    tokenize = whole.model.tokenize
     letters = byte_letters()
     specials = tuple(t.content for t in whole.get_added_tokens_decoder().values())
 
-    def encode_words(words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
-            written = " ".join([w.encode().decode("latin1").translate(letters) for w in some])
-            got = by_word.encode(written, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
+    def encode_word(word: str) -> bytes:
+        return array("I", [t.id for t in tokenize(word.encode().decode("latin1").translate(letters))]).tobytes()
 
     def encode_whole(text: str) -> bytes:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    return WordCache(public_tokenizers.PATTERN, encode_words, specials, encode_whole)
+    return WordCache(public_tokenizers.PATTERN, encode_word, specials, encode_whole)
 
 
 def in_parts(texts: list[str]):

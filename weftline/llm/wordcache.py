@@ -11,79 +11,69 @@ Python worker and serves all its tasks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import regex
 
 #: Entries in one generation; two generations take some 250 MB at most.
-LIMIT = 450_000
+LIMIT = 500_000
 #: Longer pieces are encoded each time.
 LONGEST = 64
-_HARD = regex.compile(r"\s \s|\s \Z|\x00")
+_HARD = re.compile(r"\s \s|\s \Z|\x00")
+
+
+class _Generation(dict):
+    """Ids of pieces; a missing one is taken from the older generation or encoded."""
+
+    __slots__ = ("old", "words", "encode_word")
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            words = self.words(piece)
+            ids = self.encode_word(piece) if len(words) == 1 else b"".join([self[w] for w in words])
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
 
 
 class WordCache:
     def __init__(
         self,
         pattern: str,
-        encode_words: Callable[[list[str]], list[bytes]],
+        encode_word: Callable[[str], bytes],
         specials: tuple[str, ...] = (),
         encode_whole: Callable[[str], bytes] | None = None,
         limit: int = LIMIT,
     ):
         self.words = regex.compile(pattern).findall
-        self.encode_words = encode_words
+        self.encode_word = encode_word
         self.specials = specials
         self.encode_whole = encode_whole
         self.limit = limit
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = self._generation({})
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the newer generation lacks; short ones enter it."""
-        if len(self.new) + len(pieces) > self.limit:
-            self.old, self.new = self.new, {}
-        found = {p: self.old[p] for p in pieces if p in self.old}
-        cut = {p: self.words(p) for p in pieces if p not in found}
-        wanted = {w for ws in cut.values() for w in ws} - self.new.keys()
-        got = {w: self.old[w] for w in wanted if w in self.old}
-        fresh = list(wanted - got.keys())
-        got.update(zip(fresh, self.encode_words(fresh)))
-        known = self.new
-        for p, ws in cut.items():
-            found[p] = b"".join([got[w] if w in got else known[w] for w in ws])
-        known.update((w, b) for w, b in got.items() if len(w) <= LONGEST)
-        known.update((p, b) for p, b in found.items() if len(p) <= LONGEST)
-        return found
+    def _generation(self, old: dict[str, bytes]) -> _Generation:
+        made = _Generation()
+        made.old, made.words, made.encode_word = old, self.words, self.encode_word
+        return made
 
     def _plain(self, text: str) -> bytes:
         if self.encode_whole is not None:
             return self.encode_whole(text)
-        return b"".join(self.encode_words(self.words(text)))
+        known = self.known
+        return b"".join([known[w] for w in self.words(text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            plain = _HARD.search(text) or any(s in text for s in self.specials)
-            pieces.append(None if plain else text.replace(" ", "\0 ").split("\0"))
-        missing: set[str] = set()
-        for p in pieces:
-            if p is not None:
-                missing.update(p)
-        missing -= self.new.keys()
-        extra = self._learn(missing) if missing else {}
         out = []
-        for text, p in zip(texts, pieces):
-            if p is None:
+        for text in texts:
+            if len(self.known) > self.limit:
+                self.known.old = {}
+                self.known = self._generation(self.known)
+            if _HARD.search(text) or any(s in text for s in self.specials):
                 out.append(self._plain(text))
-                continue
-            try:
-                known = self.new
-                out.append(b"".join([known[x] for x in p]))
-            except KeyError:
-                self_old = self.old
-                out.append(
-                    b"".join([extra[x] if x in extra else known[x] if x in known else self_old[x] for x in p])
-                )
+            else:
+                out.append(b"".join(map(self.known.__getitem__, text.replace(" ", "\0 ").split("\0"))))
         return out
