@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import q_bpe, q_chat, q_exact, q_lines, q_packing, q_pfor, q_quality, q_secrets, q_simhash
+from weftline.llm import q_bpe, q_chat, q_exact, q_lines, q_packing, q_pfor, q_quality, q_secrets, q_simhash, q_toxicity
 
-_MODULES = (q_quality, q_exact, q_chat, q_packing, q_lines, q_pfor, q_simhash, q_bpe, q_secrets)
+_MODULES = (q_quality, q_exact, q_chat, q_packing, q_lines, q_pfor, q_simhash, q_bpe, q_secrets, q_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
