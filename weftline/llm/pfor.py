@@ -253,29 +253,38 @@ def written(
     return cut(dealt.mapInArrow(_writer(folder), MANIFEST))
 
 
+READ = "name string, doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for path, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             doc_ids, lengths, ids = from_file(blob)
             data = memoryview(ids.astype("<u4").tobytes())
             ends = np.cumsum(lengths)
             crcs = [zlib.crc32(data[4 * int(e - n) : 4 * int(e)]) for e, n in zip(ends, lengths)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(first + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                [
+                    pa.array([path.rsplit("/", 1)[-1]] * len(doc_ids)), pa.array(doc_ids, pa.int64()),
+                    pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64()),
+                ],
+                names=["name", "doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of each document in the files."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    """``doc_id, start, n_tokens, ids_crc32`` of each document in the files.
+
+    Files are decoded where they are read; only a lean row for each document is joined
+    with the place of its file.
+    """
     if manifest.isEmpty():
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("shard", "segment").rowsBetween(Window.unboundedPreceding, -1)
     named = manifest.select(F.col("path").alias("name"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(named, "name")
-    return found.select("first", "content").mapInArrow(_reader, schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("path", "content")
+    found = files.mapInArrow(_reader, READ).join(named, "name")
+    return found.select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def new_folder(spark: SparkSession) -> str:
