@@ -45,7 +45,6 @@ DIGIT = re.compile(r"[0-9]")
 
 RATE = 0.001
 LEVEL = 0.001
-LONGEST = 512
 ALPHABETS = (
     ("hex", "0123456789abcdef", ("d", "l")),
     ("HEX", "0123456789ABCDEF", ("d", "u")),
@@ -145,13 +144,12 @@ def random_runs(text: str) -> list[tuple[int, int]]:
         bare = m[0].rstrip("=")
         if not DIGIT.search(bare):
             continue
-        part = bare[:LONGEST] if len(bare) > LONGEST else bare
         e = inferred(bare)
         if e is None:
             continue
-        if against_lot([e.place[c] for c in part], e.size) < LEVEL:
+        if against_lot([e.place[c] for c in bare], e.size) < LEVEL:
             continue
-        seen.append((against_text(part, e), m.start(), m.end()))
+        seen.append((against_text(bare, e), m.start(), m.end()))
     if not seen:
         return []
     mean = sum(end - start for _, start, end in seen) / len(seen)
