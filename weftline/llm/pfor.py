@@ -280,8 +280,16 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("shard", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    named = manifest.select(F.col("path").alias("name"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    # shards are as many as the write had ranges; their sums are all that one task sees
+    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.groupBy("shard").agg(F.sum("n_ids").alias("n")).select(
+        "shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("shard_first")
+    )
+    inside = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    named = manifest.join(shards, "shard").select(
+        F.col("path").alias("name"),
+        (F.col("shard_first") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("first"),
+    )
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("path", "content")
     found = files.mapInArrow(_reader, READ).join(named, "name")
     return found.select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
