@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.survivors import surviving
+from weftline.llm.texts import SPACE, whole, without
 from weftline.session import cut
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -244,3 +246,10 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         F.lower(F.hex("sha")).alias("text_sha256"),
         "len",
     )
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    decided = decisions(docs, doc_id, text).select("doc_id", F.concat_ws(":", "text_sha256", "len").alias("mark"), F.col("kept").alias("keep"))
+    mark = F.concat_ws(":", F.sha2(without(whole(text), SPACE), 256), F.length(whole(text)))
+    return surviving(docs, cut(decided), mark, doc_id)

@@ -137,11 +137,15 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     """``keep`` columns, the measurements and ``failure_bits``."""
     measured = docs.select(*[F.col(c) for c in keep], measurements(whole(text_col)).alias("_m"))
     flat = measured.select(*keep, "_m.*")
-    bits = reduce(
+    return flat.withColumn("failure_bits", failure_bits())
+
+
+def failure_bits() -> Column:
+    """The bits of all rules, from the measurements' columns."""
+    return reduce(
         lambda a, b: a.bitwiseOR(b),
         [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES],
     )
-    return flat.withColumn("failure_bits", bits)
 
 
 def rejected(bits: Column, policy: Policy) -> Column:
@@ -179,3 +183,14 @@ def judged(docs: DataFrame, policy: Policy = POLICIES["v1"], text_col: str = "te
     return entries.withColumn("base_failed", base_failed).withColumn(
         "kept", ~base_failed & ~rejected(F.col("failure_bits"), policy)
     )
+
+
+def accepted(docs: DataFrame, policy: Policy = POLICIES["v1"], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``policy`` and the base rules keep, with their own columns only.
+
+    The row stays in one struct meanwhile, so its columns may have any names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), measurements(whole(text_col)).alias("_m"))
+    entries = rows.select("_row", "_m.*").withColumn("failure_bits", failure_bits())
+    bits = F.col("failure_bits")
+    return entries.where(~rejected(bits, BASE) & ~rejected(bits, policy)).select("_row.*")

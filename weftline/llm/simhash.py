@@ -25,12 +25,14 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
+from weftline.llm.survivors import surviving
 from weftline.session import cut
 
 SEED = 42
@@ -189,16 +191,40 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return within.union(across).repartition(n).mapInArrow(_compare(radius), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 3, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, fp, component_id``."""
-    rows = fingerprints(docs, shingle, doc_id, text)
+def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fingerprints`` with ``component_id`` and ``keep_fp``, the fingerprint of the row that stands for all."""
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     reached = components(links(distinct.select("fp"), radius))
     of_print = distinct.join(reached, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("least", "fp").alias("group")
     )
-    of_group = of_print.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    named = of_print.join(of_group, "group").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp"))
+    of_group = of_print.groupBy("group").agg(first.alias("best"))
+    named = of_print.join(of_group, "group").select(
+        "fp", F.col("best.first_id").alias("component_id"), F.col("best.fp").alias("keep_fp")
+    )
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "keep_fp")
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 3, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, fp, component_id``."""
+    return grouped(fingerprints(docs, shingle, doc_id, text), radius).drop("keep_fp")
+
+
+def deduplicated(
+    docs: DataFrame, shingle: int = 3, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one with
+    the smallest id (one of them, if that id is repeated)."""
+    found = grouped(fingerprints(docs, shingle, doc_id, text), radius)
+    keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp"))
+    decided = cut(found.select("doc_id", F.col("fp").cast("string").alias("mark"), keep.alias("keep")))
+
+    @F.pandas_udf("string")
+    def mark(texts: pd.Series) -> pd.Series:
+        prints = [fingerprint((t or "").encode(), shingle) for t in texts]
+        return pd.Series(np.array(prints, np.uint64).view(np.int64).astype(str))
+
+    return surviving(docs, decided, mark(F.col(text)), doc_id)
