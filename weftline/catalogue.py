@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from weftline.plans import documents, files, functions, graphs, history, status, streams, tables
+from weftline.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (tables, documents, history, status, graphs, functions, files, streams)
 
-from weftline.plans import history as history_plans
 
-_MODULES = (history_plans,)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: query for module in _MODULES for key, query in module.QUERIES.items()}
+def queries() -> dict[str, Query]:
+    return {key: query for module in _MODULES for key, query in module.plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: sql for module in _MODULES for key, sql in module.ORACLES.items()}
+    return {key: sql for module in _MODULES for key, sql in module.plans.oracles.items()}
