@@ -75,19 +75,24 @@ def resource_cost(rows: DataFrame) -> DataFrame:
 
 # -- the run of one component ---------------------------------------------------------
 
-_IN_ORDER = Window.partitionBy("reference").orderBy("launch_ts", "seq")
-_UP_TO = _IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def _in_order():
+    return Window.partitionBy("reference").orderBy("launch_ts", "seq")
+
+
+def _up_to():
+    return _in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def delta_last_task(executions: DataFrame) -> DataFrame:
     """``delta_last_s``: idle seconds since the previous launch ended; 0 for the first or after NULL seconds."""
-    idle = seconds_between(F.lag("launch_ts").over(_IN_ORDER), F.col("launch_ts")) - F.lag("run_s").over(_IN_ORDER)
+    idle = seconds_between(F.lag("launch_ts").over(_in_order()), F.col("launch_ts")) - F.lag("run_s").over(_in_order())
     return executions.withColumn("delta_last_s", F.coalesce(idle, F.lit(0.0)))
 
 
 def weighted_recent(executions: DataFrame, value: str = "run_s", last: int = 3) -> DataFrame:
     """``guess``: mean of up to ``last`` latest values, weights rising evenly from 1 to 2."""
-    recent = F.collect_list(value).over(_IN_ORDER.rowsBetween(1 - last, 0))
+    recent = F.collect_list(value).over(_in_order().rowsBetween(1 - last, 0))
     weight = lambda i, n: F.when(n > 1, i / (n - 1)).otherwise(F.lit(0.0)) + 1
     found = executions.withColumn("_recent", recent)
     n = F.size("_recent")
@@ -98,12 +103,12 @@ def weighted_recent(executions: DataFrame, value: str = "run_s", last: int = 3)
 
 def since_success(executions: DataFrame) -> DataFrame:
     """``since_success_s``: seconds of failed launches since the last success; ``fail_streak``: their number; ``times_run``."""
-    grouped = executions.withColumn("_island", F.count_if(succeeded()).over(_UP_TO))
+    grouped = executions.withColumn("_island", F.count_if(succeeded()).over(_up_to()))
     island = Window.partitionBy("reference", "_island").orderBy("launch_ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     failed = F.when(~succeeded(), F.coalesce("run_s", F.lit(0.0))).otherwise(0.0)
     return grouped.select(
         *executions.columns, F.sum(failed).over(island).alias("since_success_s"),
-        F.count_if(~succeeded()).over(island).alias("fail_streak"), F.count(F.lit(1)).over(_UP_TO).alias("times_run"),
+        F.count_if(~succeeded()).over(island).alias("fail_streak"), F.count(F.lit(1)).over(_up_to()).alias("times_run"),
     )
 
 
@@ -138,7 +143,7 @@ def first_after_done(executions: DataFrame, done: DataFrame) -> DataFrame:
     after = F.col("launch_ts") > F.col("done_ts")
     group = Window.partitionBy("reference")
     first = F.min_by("seq", F.when(after, F.struct("launch_ts", "seq"))).over(group)
-    had = F.count_if(succeeded()).over(_IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)) > 0
+    had = F.count_if(succeeded()).over(_in_order().rowsBetween(Window.unboundedPreceding, -1)) > 0
     code = F.when((F.col("seq") == first) & had, 0).otherwise(F.col("exit_code"))
     return joined.withColumn("exit_code", code).select(*executions.columns)
 

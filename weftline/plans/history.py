@@ -199,12 +199,12 @@ def jn_interval_overlap(spark, sf_dir):
     return overlaps(spark, sf_dir).select("consumer", "producer", *[F.round(c, 6).alias(c) for c in ("succeed_s", "fail_s", "unknown_s")])
 
 
-@plans.query(_OVERLAP + """SELECT consumer % 7 AS consumer, round(min(succeed_s + fail_s + unknown_s), 5) AS min_s, round(max(succeed_s + fail_s + unknown_s), 5) AS max_s,
-  round(sum(succeed_s + fail_s + unknown_s), 5) AS sum_s, round(avg(succeed_s + fail_s + unknown_s), 5) AS avg_s, round(sum(succeed_s), 5) AS succeed_sum_s,
-  round(max(succeed_s), 5) AS succeed_max_s, round(sum(unknown_s), 5) AS unknown_sum_s FROM o GROUP BY consumer % 7""")
+@plans.query(_OVERLAP + """SELECT consumer % 7 AS consumer, round(min(succeed_s + fail_s + unknown_s), 6) AS min_s, round(max(succeed_s + fail_s + unknown_s), 6) AS max_s,
+  round(sum(succeed_s + fail_s + unknown_s), 6) AS sum_s, round(avg(succeed_s + fail_s + unknown_s), 6) AS avg_s, round(sum(succeed_s), 6) AS succeed_sum_s,
+  round(max(succeed_s), 6) AS succeed_max_s, round(sum(unknown_s), 6) AS unknown_sum_s FROM o GROUP BY consumer % 7""")
 def agg_producer_times(spark, sf_dir):
     times = history.producer_times(overlaps(spark, sf_dir).withColumn("consumer", F.col("consumer") % 7))
-    return times.select("consumer", *[F.round(c, 5).alias(c) for c in times.columns if c != "consumer"])
+    return times.select("consumer", *[F.round(c, 6).alias(c) for c in times.columns if c != "consumer"])
 
 
 @plans.query(_OVERLAP + "SELECT consumer % 7 AS consumer, arg_max(producer, (succeed_s, -producer)) AS producer FROM o GROUP BY 1")
