@@ -51,11 +51,11 @@ def encoder(path: str) -> WordCache:
     return WordCache(public_tokenizers.PATTERN, encode_word, specials, encode_whole)
 
 
-def in_parts(texts: list[str]):
+def in_parts(texts: list[str | None]):
     """Neighbouring texts with about ``TOGETHER`` characters, as slices."""
     start = size = 0
     for i, t in enumerate(texts):
-        size += len(t)
+        size += len(t or "")
         if size >= TOGETHER:
             yield slice(start, i + 1)
             start, size = i + 1, 0
