@@ -92,6 +92,7 @@ def test_filters_merge_without_loss():
 def test_repeated_fingerprints_beyond_broadcast(spark, odd_docs, monkeypatch):
     want = sorted(map(str, exact.decisions(odd_docs).drop("kept").collect()))
     monkeypatch.setattr(exact, "BROADCAST_FPS", 0)
+    monkeypatch.setattr(exact, "BROADCAST_GROUPS", 0)
     assert sorted(map(str, exact.decisions(odd_docs).drop("kept").collect())) == want
 
 

@@ -41,6 +41,8 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 FLUSH = 1 << 20
 #: Fingerprints that may be sent to every executor: 8 MB of them. More are joined by shuffle.
 BROADCAST_FPS = 1 << 20
+#: Groups whose rows (some 100 bytes) may be sent to every executor, so that a hot one never meets in a task.
+BROADCAST_GROUPS = 1 << 17
 
 
 # -- counting quotient filter ---------------------------------------------------------
@@ -228,17 +230,18 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, len``."""
     rows = digests(docs, doc_id, text)
     repeated = cut(repeated_fingerprints(rows))
+    few = repeated.count() <= BROADCAST_GROUPS
     groups = verified_groups(docs, repeated, text)
     rank = F.struct("len", (-F.coalesce("doc_id", F.lit(2**63 - 1))).alias("id"), (-F.col("row_no")).alias("row"))
     best = (
-        rows.join(repeated.select("fp"), "fp", "left_semi")
+        rows.join(F.broadcast(repeated.select("fp")) if few else repeated.select("fp"), "fp", "left_semi")
         .groupBy("fp", "sha")
         .agg(F.max(rank).alias("best"), F.max_by("doc_id", rank).alias("keep_id"))
     )
     kept = groups.join(best, ["fp", "sha"]).select(
         "fp", "sha", "n", "keep_id", (-F.col("best.row")).alias("keep_row")
     )
-    return rows.join(kept, ["fp", "sha"], "left").select(
+    return rows.join(F.broadcast(kept) if few else kept, ["fp", "sha"], "left").select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).alias("group_size"),
