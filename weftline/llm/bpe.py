@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from weftline.llm.tokens import in_parts
 from weftline.llm.wordcache import WordCache
 
-MOST_STATES = 150_000
+MOST_STATES = 250_000
 MOST_PAIRS = 300_000
 
 
@@ -55,27 +55,57 @@ class Transducer:
         self.token = {i: b for b, i in ranks.items()}
         self.beginnings = {b[:n] for b in ranks for n in range(1, len(b))}
         self.written = {i: np.array([i], "<u4").tobytes() for i in self.token}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.states: dict[tuple[int, bytes], _State] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.start = self.states[-1, b""] = _State(-1, b"", (), ())
 
-    def merged(self, word: bytes) -> list[int]:
-        """Plain BPE: the pair of lowest rank, leftmost first, until none is left."""
+    def merged(self, word: bytes, below: int | None = None) -> list[int]:
+        """Plain BPE: the pair of lowest rank (lower than ``below``), leftmost first, until none is left."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
-            best, at = None, 0
+            best, at = below, None
             for i in range(len(parts) - 1):
                 rank = self.ranks.get(parts[i] + parts[i + 1])
                 if rank is not None and (best is None or rank < best):
                     best, at = rank, i
-            if best is None:
+            if at is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def half(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token``; None for a single byte."""
+        found = self.halves.get(token, ())
+        if found == ():
+            parts = self.merged(self.token[token], token)
+            found = self.halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return found
+
+    def _kept_apart(self, one: int, two: int) -> bool:
+        """Whether no merge crosses the boundary between two tokens.
+
+        The later made of the two tokens at the boundary is undone, again and again; a
+        merge across it happens if it comes before what was undone last.
+        """
+        token, ranks = self.token, self.ranks
+        limit = None
+        while True:
+            across = ranks.get(token[one] + token[two])
+            if across is not None and (limit is None or across < limit):
+                return False
+            left, right = self.half(one), self.half(two)
+            if left is None and right is None:
+                return True
+            # of equal ones the left is made first, so the right is undone first
+            if right is None or (left is not None and one > two):
+                limit, one = one, left[1]
+            else:
+                limit, two = two + 1, right[0]
+
     def compatible(self, one: int, two: int) -> bool:
         if one < 0:
             return True
@@ -83,7 +113,7 @@ class Transducer:
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[one, two] = self.merged(self.token[one] + self.token[two]) == [one, two]
+            known = self.pairs[one, two] = self._kept_apart(one, two)
         return known
 
     def _step(self, state: _State, byte: int) -> tuple[_State, bytes]:
