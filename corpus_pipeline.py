@@ -6,7 +6,8 @@ never repeats more than a stage.
 
 1. quality rules: documents that fail the base rules or policy ``v1`` go.
 2. exact dedup: of texts equal but for white space, the longest stays.
-3. SimHash near-dedup: of each component of near copies, the smallest id stays.
+3. SimHash near-dedup: of each component of near copies (0.8 and more of their five-word
+   shingles in common), the smallest id stays.
 4. secret scans: spans found are replaced by a mark; the documents stay.
 5. packing: token sequences of 2048.
 
@@ -21,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact, packing, quality, secrets, simhash
+from weftline.llm import exact, nearcopies, packing, quality, secrets
 from weftline.llm.tokens import vocabulary
 from weftline.session import shared_dir
 from weftline.sources.tables import table
@@ -36,7 +37,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return nearcopies.deduplicated(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
