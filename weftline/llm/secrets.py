@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests.
 
 Fixed patterns give the base spans (``assign``, ``access``, ``hex``). The method adds spans
-(``random``): runs of 20 and more characters of an encoding that look drawn by lot.
+(``random``): runs of 20 and more characters of an encoding that look drawn by lot, also as
+values after ``=``.
 
 * The encoding is inferred from the characters of the run (hexadecimal, base 32, base 36
   in one case, base 64); a run in which only one or two kinds of character occur although
@@ -39,7 +40,9 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = ("passw", "secret", "token", "api")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+# A run may follow "=" (NAME=value) or stand before it; "=" at its end is padding unless
+# more text of the alphabet goes on after it.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 DIGIT = re.compile(r"[0-9]")
 
