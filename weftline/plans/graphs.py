@@ -152,18 +152,22 @@ def agg_replica_fanin(spark, sf_dir):
     return ops.fan_in_references(clones(spark, sf_dir), "/out.dat")
 
 
-@plans.query(f"""WITH {_G}, t AS (SELECT node, 'run ' || node AS command, 'image' || node % 3 AS image, CASE WHEN node % 4 = 1 THEN md5('w' || node) END AS content FROM n),
+#: The first two levels only, by hand: SQL that covers nodes 0 to 2 of ``gr_memo_hash``.
+MEMO_TOP = f"""WITH {_G}, t AS (SELECT node, 'run ' || node AS command, 'image' || node % 3 AS image, CASE WHEN node % 4 = 1 THEN md5('w' || node) END AS content FROM n),
 h0 AS (SELECT node, md5(command || chr(1) || image || chr(1)) AS h FROM t WHERE node = 0), r0 AS (SELECT node, coalesce(content, h) AS x FROM t JOIN h0 USING (node)),
 i1 AS (SELECT dst AS node, string_agg(x, ',' ORDER BY x) AS i FROM edges JOIN r0 ON src = r0.node WHERE dst IN (1, 2) GROUP BY 1),
 h1 AS (SELECT node, md5(command || chr(1) || image || chr(1) || i) AS h FROM t JOIN i1 USING (node))
-SELECT node, h AS memo_hash FROM h0 UNION ALL SELECT node, h FROM h1""")
+SELECT node, h AS memo_hash FROM h0 UNION ALL SELECT node, h FROM h1"""
+
+
+@plans.query()
 def gr_memo_hash(spark, sf_dir):
     node = F.col("node")
-    tasks = nodes(spark, sf_dir).where("node <= 2").select(
+    tasks = nodes(spark, sf_dir).select(
         "node", F.concat(F.lit("run "), node).alias("command"), F.concat(F.lit("image"), node % 3).alias("image"),
         F.when(node % 4 == 1, F.md5(F.concat(F.lit("w"), node))).alias("content"),
     )
-    return ops.memo_hashes(tasks, edges(spark, sf_dir).where("dst <= 2"))
+    return ops.memo_hashes(tasks, edges(spark, sf_dir))
 
 
 @plans.query("SELECT p_partkey, md5(p_brand || chr(1) || p_type || chr(1) || p_size) AS digest FROM part")
