@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.simhash import SEED, TILE, TOGETHER
+from weftline.llm.simhash import SEED, TILE
 from weftline.llm.survivors import BROADCAST_IDS, surviving
 from weftline.session import cut
 
@@ -47,6 +47,9 @@ BANDS = 20
 ROWS = 4
 #: Candidates of a pair of tiles that are all given, for each node in it.
 FEW = 4
+#: Hashes whose bits are counted together, and rows that a task holds in Python at a time.
+TOGETHER = 1 << 12
+AT_ONCE = 256
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -88,15 +91,21 @@ def keys_of(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return []
     least = np.full(len(_TIMES), np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, (hashes[None, i : i + (1 << 12)] * _TIMES[:, None]).min(axis=1))
+    for i in range(0, len(hashes), 1 << 10):
+        least = np.minimum(least, (hashes[None, i : i + (1 << 10)] * _TIMES[:, None]).min(axis=1))
     made = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
     return np.array(made, np.uint64).view(np.int64).tolist()
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(i, AT_ONCE)
+
+
 def _sketch(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             rows = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 h = shingles(text or b"", shingle)
@@ -111,7 +120,7 @@ def _sketch(shingle: int):
 
 def _set_of(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingles(t or b"", shingle) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             made = [pa.array([sign(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=["node", "members"])
@@ -217,8 +226,8 @@ def _compare(least: float, few: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs, more = [], False
-            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, cut_short = _candidates(one, two, least, few)
+            for one, two in zip(batch.column(0), batch.column(1)):
+                found, cut_short = _candidates(one.as_py(), two.as_py(), least, few)
                 pairs += found
                 more |= cut_short
             rows = [*dict.fromkeys(pairs), *([(None, None)] if more else [])]
@@ -244,7 +253,7 @@ def candidates(nodes: DataFrame, least: float = LEAST, tile: int = TILE, few: in
 
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             alike = []
             for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
