@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.splitting import Classes, tiktoken_classes
 from weftline.llm.tokens import in_parts
 from weftline.llm.wordcache import WordCache
 
@@ -249,16 +250,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> tuple[WordCache, StreamDecoder, list[bytes]]:
+def codec(path: str, classes: Classes | None = None) -> tuple[WordCache, StreamDecoder, list[bytes]]:
     """The worker's encoder, decoder and decimal forms for a file of ranks."""
-    import public_tokenizers
-
     ranks = read_ranks(path)
     machine = Transducer(ranks)
     token = [b""] * (max(ranks.values()) + 1)
     for data, i in ranks.items():
         token[i] = data
-    cache = WordCache(public_tokenizers.PATTERN, lambda w: machine.encode(w.encode()), limit=250_000)
+    cache = WordCache(classes or tiktoken_classes(), lambda w: machine.encode(w.encode()), limit=250_000)
     return cache, StreamDecoder(token), [b"%d" % i for i in range(len(token))]
 
 
@@ -267,9 +266,9 @@ OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, rou
 STEP = 1 << 16
 
 
-def _coded(path: str):
+def _coded(path: str, classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, decoder, decimal = codec(path)
+        cache, decoder, decimal = codec(path, classes)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for some in in_parts(texts):
@@ -294,4 +293,4 @@ def _coded(path: str):
 def coded(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip`` of each row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_coded(ranks), OUT)
+    return rows.mapInArrow(_coded(ranks, tiktoken_classes()), OUT)

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.splitting import Classes, tokenizers_classes
 from weftline.llm.tokens import encoder, in_parts
 from weftline.session import cut as kept
 
@@ -52,9 +53,9 @@ def pieces_of(length: int, capacity: int, largest: list[int]) -> list[int]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, at long"
 
 
-def _cutter(path: str, capacity: int, end_id: int):
+def _cutter(path: str, classes: Classes, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, classes).encode
         largest = largest_pieces(capacity)
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
@@ -118,7 +119,7 @@ def packed(
     ``sequence_id`` is ``bin * 2 * capacity + class``, with class 0 for opened pieces.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = kept(rows.mapInArrow(_cutter(vocabulary, capacity, end_id), PIECES))
+    pieces = kept(rows.mapInArrow(_cutter(vocabulary, tokenizers_classes(), capacity, end_id), PIECES))
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     by_part = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(

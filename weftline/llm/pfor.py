@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.splitting import Classes, tokenizers_classes
 from weftline.llm.tokens import encoder, in_parts
 from weftline.session import cut, shared_dir
 
@@ -181,9 +182,9 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2", offset=1).astype("<u4") if data[0] == 2 else np.frombuffer(data, "<u4", offset=1)
 
 
-def _encoded(path: str, end_id: int, bounds: list[int]):
+def _encoded(path: str, classes: Classes, end_id: int, bounds: list[int]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(path).encode
+        to_ids = encoder(path, classes).encode
         end = np.array([end_id], "<u4").tobytes()
         edges = np.array(bounds, np.int64)
         for batch in batches:
@@ -248,7 +249,7 @@ def written(
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / n for i in range(1, n)]
     bounds = rows.agg(F.percentile_approx("doc_id", shares, 100 * n)).first()[0] or []
-    encoded = rows.mapInArrow(_encoded(vocabulary, end_id, sorted(set(bounds))), "shard long, doc_id long, ids binary")
+    encoded = rows.mapInArrow(_encoded(vocabulary, tokenizers_classes(), end_id, sorted(set(bounds))), "shard long, doc_id long, ids binary")
     dealt = encoded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "ids")
     return cut(dealt.mapInArrow(_writer(folder), MANIFEST))
 

@@ -6,11 +6,9 @@ import os
 from array import array
 from functools import lru_cache
 
+from weftline.llm.splitting import TOGETHER, Classes, tokenizers_classes
 from weftline.llm.wordcache import WordCache
 
-#: Texts of at most so many characters are encoded together.
-TOGETHER = 2_000_000
-
 
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
@@ -31,10 +29,12 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordCache:
-    """The worker's encoder for a tokenizers file, equal to ``encode(text, add_special_tokens=False)``."""
+def encoder(path: str, classes: Classes | None = None) -> WordCache:
+    """The worker's encoder for a tokenizers file, equal to ``encode(text, add_special_tokens=False)``.
+
+    ``classes`` are those of ``tokenizers_classes``, best made once on the driver.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
@@ -48,7 +48,7 @@ def encoder(path: str) -> WordCache:
     def encode_whole(text: str) -> bytes:
         return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    return WordCache(public_tokenizers.PATTERN, encode_word, specials, encode_whole)
+    return WordCache(classes or tokenizers_classes(), encode_word, specials, encode_whole)
 
 
 def in_parts(texts: list[str | None]):

@@ -1,53 +1,49 @@
 """Token ids of whole texts from ids of words, each distinct word encoded once for a while.
 
-Byte-level BPE splits a text into words by a pattern and encodes each by itself. A text
-cut before every space gives the same words unless a space has white space on both sides
-(or stands after white space at the end): there the pattern takes a run as one word.
-Such texts, and those with a special token or a NUL, go the plain way instead. Pieces of
-a text are looked up in two generations of a dict, the older dropped when the newer is
-full, so memory stays bounded while frequent words stay known. One encoder lives in each
-Python worker and serves all its tasks.
+Byte-level BPE splits a text into words by a pattern and encodes each by itself. Words are
+looked up in two generations of a dict, the older dropped when the newer is full, so
+memory stays bounded while frequent words stay known. Texts with a special token go the
+plain way. One encoder lives in each Python worker and serves all its tasks.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import regex
+import numpy as np
 
-#: Entries in one generation; two generations take some 250 MB at most.
+from weftline.llm.splitting import TOGETHER, Classes, Splitter
+
+#: Entries in one generation; two generations take some 200 MB at most.
 LIMIT = 500_000
-#: Longer pieces are encoded each time.
+#: Longer words are encoded each time.
 LONGEST = 64
-_HARD = re.compile(r"\s \s|\s \Z|\x00")
 
 
 class _Generation(dict):
-    """Ids of pieces; a missing one is taken from the older generation or encoded."""
+    """Ids of words; a missing one is taken from the older generation or encoded."""
 
-    __slots__ = ("old", "words", "encode_word")
+    __slots__ = ("old", "encode_word")
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
         if ids is None:
-            words = self.words(piece)
-            ids = self.encode_word(piece) if len(words) == 1 else b"".join([self[w] for w in words])
-        if len(piece) <= LONGEST:
-            self[piece] = ids
+            ids = self.encode_word(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
 
 class WordCache:
     def __init__(
         self,
-        pattern: str,
+        classes: Classes,
         encode_word: Callable[[str], bytes],
         specials: tuple[str, ...] = (),
         encode_whole: Callable[[str], bytes] | None = None,
         limit: int = LIMIT,
     ):
-        self.words = regex.compile(pattern).findall
+        self.splitter = Splitter(classes)
         self.encode_word = encode_word
         self.specials = specials
         self.encode_whole = encode_whole
@@ -56,24 +52,39 @@ class WordCache:
 
     def _generation(self, old: dict[str, bytes]) -> _Generation:
         made = _Generation()
-        made.old, made.words, made.encode_word = old, self.words, self.encode_word
+        made.old, made.encode_word = old, self.encode_word
         return made
 
-    def _plain(self, text: str) -> bytes:
-        if self.encode_whole is not None:
-            return self.encode_whole(text)
-        known = self.known
-        return b"".join([known[w] for w in self.words(text)])
+    def _together(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.known.old = {}
+            self.known = self._generation(self.known)
+        words, counts = self.splitter.words(texts)
+        ids = list(map(self.known.__getitem__, words))
+        ends = np.cumsum(counts)
+        return [b"".join(ids[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            if len(self.known) > self.limit:
-                self.known.old = {}
-                self.known = self._generation(self.known)
-            if _HARD.search(text) or any(s in text for s in self.specials):
-                out.append(self._plain(text))
+        """The encoded words of each text, joined."""
+        out: list[bytes] = [b""] * len(texts)
+        some: list[int] = []
+        size = 0
+
+        def close() -> None:
+            nonlocal some, size
+            for i, ids in zip(some, self._together([texts[i] for i in some])):
+                out[i] = ids
+            some, size = [], 0
+
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.specials):
+                out[i] = self.encode_whole(text)
+            elif len(text) > TOGETHER:
+                out[i] = b"".join([self._together([part])[0] for part in self.splitter.cuts(text)])
             else:
-                out.append(b"".join(map(self.known.__getitem__, text.replace(" ", "\0 ").split("\0"))))
+                some.append(i)
+                size += len(text)
+                if size >= TOGETHER:
+                    close()
+        close()
         return out
