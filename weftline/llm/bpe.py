@@ -1,13 +1,17 @@
 """Byte-level BPE by a lazily determinised transducer, and a streaming decoder.
 
 Encoding reads a word byte by byte. A boundary of tokens at some place fixes all tokens
-before it: the last token before the boundary is the one that ends there and is compatible
-with its predecessor, that is, the two encode to themselves when put together. A state is
-therefore the last token that is certain and the bytes read since. After each byte, every
-place where a longer token may still begin is a boundary to reckon with; what all of their
-chains of tokens share is certain and is emitted. A token has a longest length, so the
-lookahead is bounded by it. States and transitions are built when first met, kept, and
-dropped together when they are ``MOST_STATES``.
+before it: the last token before the boundary is the longest that ends there and is
+compatible with its predecessor, that is, the two encode to themselves when put together.
+After each byte, every boundary from which a longer token may still begin is one to reckon
+with; what the chains of tokens of all of them share is certain and is emitted. A token
+has a longest length, so the lookahead is bounded by it.
+
+A state holds no text: for each boundary to reckon with, the token that ends there, the
+boundary that this token began at, and how far down the trie of tokens the bytes since
+have come. States that agree in these are one, whatever was read before. States and
+transitions are built when first met, kept as numbers in flat tables, and dropped together
+when there are ``MOST_STEPS`` transitions.
 
 Decoding puts the tokens' bytes together and follows UTF-8 by a state machine over tokens,
 so that a character cut between two tokens, or two calls, is completed when its rest
@@ -34,35 +38,45 @@ from weftline.llm.splitting import Classes, tiktoken_classes
 from weftline.llm.tokens import in_parts
 from weftline.llm.wordcache import WordCache
 
-MOST_STATES = 250_000
-MOST_PAIRS = 300_000
+MOST_STEPS = 800_000
+MOST_PAIRS = 500_000
 
-
-class _State:
-    __slots__ = ("certain", "bytes", "ends", "alive", "next", "final")
-
-    def __init__(self, certain: int, pending: bytes, ends: tuple, alive: tuple):
-        self.certain = certain  # the last certain token, -1 at a word's start
-        self.bytes = pending
-        self.ends = ends  # for each place 1.. in pending: (start, id) of the token that ends there
-        self.alive = alive  # places from which pending is the beginning of a longer token
-        self.next: dict[int, tuple[_State, bytes]] = {}
-        self.final: bytes | None = None
+ROOT = 0
+DEAD = -1
+#: A transition in one number: what it emits above, the next state (with a byte's room below) in the low bits.
+EMITS = 36
+NEXT = (1 << EMITS) - 1
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self.beginnings = {b[:n] for b in ranks for n in range(1, len(b))}
         self.written = {i: np.array([i], "<u4").tobytes() for i in self.token}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.child: dict[int, int] = {}
+        self.ends, self.goes_on = [-1], [True]  # of each node of the trie: the token there, whether it has children
+        for data, i in ranks.items():
+            node = ROOT
+            for byte in data:
+                if node << 8 | byte not in self.child:
+                    self.child[node << 8 | byte] = len(self.ends)
+                    self.goes_on[node] = True
+                    self.ends.append(-1)
+                    self.goes_on.append(False)
+                node = self.child[node << 8 | byte]
+            self.ends[node] = i
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.states: dict[tuple[int, bytes], _State] = {}
-        self.start = self.states[-1, b""] = _State(-1, b"", (), ())
+        self.steps: dict[int, int] = {}
+        self.number: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.final: list[bytes] = []
+        self.emits: list[bytes] = [b""]
+        self.emitted: dict[bytes, int] = {b"": 0}
+        self._state(-1, ((-1, -1, ROOT),))
 
     def merged(self, word: bytes, below: int | None = None) -> list[int]:
         """Plain BPE: the pair of lowest rank (lower than ``below``), leftmost first, until none is left."""
@@ -110,67 +124,90 @@ class Transducer:
     def compatible(self, one: int, two: int) -> bool:
         if one < 0:
             return True
-        known = self.pairs.get((one, two))
+        key = one << 32 | two
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[one, two] = self._kept_apart(one, two)
+            known = self.pairs[key] = self._kept_apart(one, two)
         return known
 
-    def _step(self, state: _State, byte: int) -> tuple[_State, bytes]:
-        pending = state.bytes + bytes((byte,))
-        n = len(pending)
-        ends, certain = list(state.ends), state.certain
-        for s in (*state.alive, n - 1):  # a token that ends here began at one of these
-            token = self.ranks.get(pending[s:])
-            if token is not None and self.compatible(ends[s - 1][1] if s else certain, token):
-                ends.append((s, token))
-                break
-        else:
-            raise ValueError(f"no token ends after {pending!r}")
-        beginnings = self.beginnings
-        alive = [s for s in (*state.alive, n - 1) if pending[s:] in beginnings]
-        # the last boundary that the chains of all boundaries have in common
-        cut = n
-        for s in alive:
-            while cut != s:
-                if cut > s:
-                    cut = ends[cut - 1][0]
-                else:
-                    s = ends[s - 1][0]
-        sure, place = [], cut
-        while place:
-            place, token = ends[place - 1]
-            sure.append(token)
-        key = (sure[0] if sure else certain, pending[cut:])
-        made = self.states.get(key)
-        if made is None:
-            rest = tuple([(s - cut, t) for s, t in ends[cut:]]) if cut else tuple(ends)
-            made = self.states[key] = _State(*key, rest, tuple([s - cut for s in alive]) if cut else tuple(alive))
-        return made, b"".join([self.written[t] for t in reversed(sure)])
-
-    def _final(self, state: _State) -> bytes:
-        place, tail = len(state.bytes), []
-        while place:
-            place, token = state.ends[place - 1]
-            tail.append(token)
-        return b"".join([self.written[t] for t in reversed(tail)])
+    def _chain(self, bounds: list | tuple, at: int) -> bytes:
+        """The tokens from the first boundary to the one ``at``."""
+        tokens = []
+        while at:
+            at, token, _ = bounds[at]
+            tokens.append(self.written[token])
+        return b"".join(reversed(tokens))
+
+    def _state(self, certain: int, bounds: tuple) -> int:
+        """The number of a state: ``bounds`` has (began at, token, node) of each boundary.
+
+        The last certain token matters only while a token may begin behind it.
+        """
+        key = (certain if bounds[0][2] != DEAD else -1, bounds)
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = len(self.states)
+            self.states.append(key)
+            self.final.append(self._chain(bounds, len(bounds) - 1))
+        return number
+
+    def _step(self, state: int, byte: int) -> int:
+        certain, bounds = self.states[state]
+        child, ends, goes_on = self.child, self.ends, self.goes_on
+        began, token, now = -1, -1, []
+        for i, (before, last, node) in enumerate(bounds):
+            if node != DEAD:
+                node = child.get(node << 8 | byte, DEAD)
+                if node != DEAD:
+                    # the first boundary to match gives the longest token
+                    if began < 0 and ends[node] >= 0 and self.compatible(last if i else certain, ends[node]):
+                        began, token = i, ends[node]
+                    if not goes_on[node]:
+                        node = DEAD
+            now.append((before, last, node))
+        if began < 0:
+            raise ValueError(f"no token ends with byte {byte}")
+        now.append((began, token, ROOT))
+        # boundaries that live, or that a living one's chain goes through
+        heirs: list[list[int]] = [[] for _ in now]
+        for i in range(len(now) - 1, 0, -1):
+            if now[i][2] != DEAD or heirs[i]:
+                heirs[now[i][0]].append(i)
+        cut = 0
+        while now[cut][2] == DEAD and len(heirs[cut]) == 1:
+            cut = heirs[cut][0]
+        sure = self._chain(now, cut)
+        if cut:
+            certain = now[cut][1]
+        place, left = {cut: 0}, [(-1, -1, now[cut][2])]
+        for i in range(cut + 1, len(now)):
+            before, last, node = now[i]
+            if (node != DEAD or heirs[i]) and before in place:
+                place[i] = len(left)
+                left.append((place[before], last, node))
+        emitted = self.emitted.get(sure)
+        if emitted is None:
+            emitted = self.emitted[sure] = len(self.emits)
+            self.emits.append(sure)
+        made = self.steps[state << 8 | byte] = emitted << EMITS | self._state(certain, tuple(left)) << 8
+        return made
 
     def encode(self, word: bytes) -> bytes:
         """Little-endian 32-bit ids of one word."""
-        if len(self.states) >= MOST_STATES:
+        if len(self.steps) >= MOST_STEPS:
             self._forget()
-        state, out = self.start, []
+        known, state, out = self.steps.get, 0, []
         for byte in word:
-            found = state.next.get(byte)
-            if found is None:
-                found = state.next[byte] = self._step(state, byte)
-            state, sure = found
-            if sure:
-                out.append(sure)
-        if state.final is None:
-            state.final = self._final(state)
-        out.append(state.final)
+            step = known(state | byte)
+            if step is None:
+                step = self._step(state >> 8, byte)
+            if step > NEXT:
+                out.append(self.emits[step >> EMITS])
+                step &= NEXT
+            state = step
+        out.append(self.final[state >> 8])
         return b"".join(out)
 
 
@@ -200,6 +237,9 @@ class StreamDecoder:
 
     def __init__(self, token: list[bytes]):
         self.token = token
+        self.bytes = np.frombuffer(b"".join(token), np.uint8)
+        self.size = np.array([len(b) for b in token])
+        self.place = np.cumsum(self.size) - self.size
         self.steps: dict[tuple[tuple[int, int, int], int], tuple[int, int, int] | None] = {}
         self.odd = np.array([self._run(WHOLE, b) != WHOLE for b in token])
         self.reset()
@@ -215,8 +255,16 @@ class StreamDecoder:
                 return None
         return state
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        if not len(ids):
+            return b""
+        places = np.arange(ends[-1]) + np.repeat(self.place[ids] - ends + size, size)
+        return self.bytes[places].tobytes()
+
     def feed(self, ids: np.ndarray) -> bytes:
-        data = self.held + b"".join(map(self.token.__getitem__, ids.tolist()))
+        data = self.held + self._bytes(ids)
         state, place = self.state, -1
         for i in np.flatnonzero(self.odd[ids]).tolist():
             if state != WHOLE and i != place + 1:  # a token of whole characters came inside one
@@ -251,7 +299,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def codec(path: str, classes: Classes | None = None) -> tuple[WordCache, StreamDecoder, list[bytes]]:
-    """The worker's encoder, decoder and decimal forms for a file of ranks."""
+    """The worker's encoder, decoder and decimal forms for a file of ranks; ``classes`` of the library if none are given."""
     ranks = read_ranks(path)
     machine = Transducer(ranks)
     token = [b""] * (max(ranks.values()) + 1)
