@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.components import components as connected
 from weftline.session import cut
 
 
@@ -125,23 +126,11 @@ def block_members(blocks: DataFrame, node_levels: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "node"))), lambda x: x["node"]).alias("members"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "node", most: int = 200) -> DataFrame:
-    """``node, component``: the smallest node of each weakly connected part.
-
-    Labels spread to neighbours, then jump to the label of the label, so that the number
-    of turns grows with the logarithm of a part's width.
-    """
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    label = cut(nodes.select(F.col(node).alias("node"), F.col(node).alias("component")))
-    for _ in range(most):
-        near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("_near"))
-        spread = label.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_was"))
-        target = spread.select(F.col("node").alias("_of"), F.col("component").alias("_jump"))
-        new = cut(spread.join(target, F.col("component") == F.col("_of")).select("node", F.col("_jump").alias("component"), "_was"))
-        label = new.select("node", "component")
-        if new.where("component <> _was").isEmpty():
-            return label
-    raise RuntimeError(f"components did not settle in {most} turns")
+def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """``node, component``: the smallest node of each weakly connected part."""
+    reached = connected(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    mine = nodes.select(F.col(node).alias("node"))
+    return mine.join(reached, "node", "left").select("node", F.coalesce("least", "node").alias("component"))
 
 
 # -- fan-out and fan-in ---------------------------------------------------------------
