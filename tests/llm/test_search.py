@@ -197,7 +197,7 @@ def test_pipeline_odd(spark, odd_docs, no_docs):
 
 
 def test_components_of_long_chains(spark):
-    from weftline.llm.components import components
+    from weftline.operators.components import components
 
     edges = spark.range(200).selectExpr("id AS a", "id + 1 AS b").union(spark.range(500, 520).selectExpr("id AS a", "500L AS b"))
     found = {r["node"]: r["least"] for r in components(edges).collect()}

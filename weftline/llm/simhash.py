@@ -7,10 +7,10 @@ links are sought between distinct fingerprints only.
 No link is missed: the 64 bits are cut into ``PARTS`` equal parts, and two fingerprints
 within the radius agree on at least ``PARTS - RADIUS`` of them. Each choice of that many
 parts is a key; fingerprints of a key are sorted by population count and cut into tiles of
-at most ``TILE``. Tiles of one key are compared with numpy's exclusive-or and bit count; a
-pair of tiles is skipped when their population counts differ by more than the radius. A
-key with many fingerprints has many tiles, and its pairs of tiles are dealt out over all
-tasks. From each pair of tiles come only links that join its local components, so a large
+at most ``TILE``; the sort is by ranges, so a key with very many fingerprints is spread over
+tasks. Tiles of one key are compared with numpy's exclusive-or and bit count; a
+pair of tiles is skipped when their population counts differ by more than the radius.
+Pairs of tiles are made as pairs of numbers and dealt out over all tasks. From each pair of tiles come only links that join its local components, so a large
 group of near copies gives links in proportion to its members.
 
 Nulls: a null text has no words, fingerprint zero, linked like any other; a null id
@@ -28,11 +28,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.components import components
 from weftline.llm.survivors import surviving
+from weftline.operators.components import components
+from weftline.operators.skew import MOST_HOT, joined
 from weftline.session import cut
 
 SEED = 42
@@ -88,17 +90,22 @@ def _signed(mask: int) -> int:
 
 
 def _tiler(tile: int):
-    """Tiles of each key's fingerprints; keys with a single one are left out."""
+    """Tiles of each key's fingerprints, numbered by task; keys with a single one are left out.
+
+    A key at either end of a task's rows may go on in the next task, so it stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tiles, held, pops = None, 0, [], []
+        made, keys = TaskContext.get().partitionId() << 32, 0
 
-        def close(out: list) -> None:
-            nonlocal tiles, held, pops
-            if len(held) > 1 or tiles and held:
+        def close(out: list, last: bool = False) -> None:
+            nonlocal tiles, held, pops, made
+            if len(held) > 1 or held and (tiles or keys == 1 or last):
                 blob = np.array(held, np.int64).tobytes()
-                out.append((*key, tiles, pops[0], pops[-1], blob))
+                out.append((*key, made, pops[0], pops[-1], blob))
                 tiles += 1
+                made += 1
             held, pops = [], []
 
         for batch in batches:
@@ -106,7 +113,7 @@ def _tiler(tile: int):
             for choice, part, pop, fp in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != (choice, part):
                     close(out)
-                    key, tiles = (choice, part), 0
+                    key, tiles, keys = (choice, part), 0, keys + 1
                 elif len(held) >= tile:
                     close(out)
                 held.append(fp)
@@ -114,17 +121,17 @@ def _tiler(tile: int):
             yield _tiles(out)
         out = []
         if key is not None:
-            close(out)
+            close(out, last=True)
         yield _tiles(out)
 
     return run
 
 
-TILES = "choice int, part long, tile int, low int, high int, fps binary"
+TILES = "choice int, part long, tile long, low int, high int, fps binary"
 
 
 def _tiles(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     columns = list(zip(*rows)) or [[]] * 6
     names = ["choice", "part", "tile", "low", "high", "fps"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
@@ -177,33 +184,42 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
         F.bit_count("fp").alias("pop"), "fp",
     )
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartition(n, "choice", "part").sortWithinPartitions("choice", "part", "pop", "fp")
+    # by ranges, so that a key with many fingerprints is cut over several tasks
+    order = ("choice", "part", "pop", "fp")
+    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tiles = cut(ordered.mapInArrow(_tiler(tile), TILES))
     within = tiles.select(F.col("fps").alias("one"), F.lit(None).cast("binary").alias("two"))
-    one, two = tiles.alias("one"), tiles.where("tile > 0").alias("two")
-    close: Column = (
-        (F.col("one.choice") == F.col("two.choice"))
-        & (F.col("one.part") == F.col("two.part"))
-        & (F.col("one.tile") < F.col("two.tile"))
-        & (F.col("two.low") - F.col("one.high") <= radius)
+    # pairs are made of numbers alone, dealt out, and only then given their fingerprints
+    lean = tiles.select("choice", "part", "tile", "low", "high")
+    ahead = lean.select("choice", "part", F.col("tile").alias("two"), F.col("low").alias("from"))
+    pairs = lean.join(ahead, ["choice", "part"]).where(F.col("tile") < F.col("two")).where(F.col("from") - F.col("high") <= radius)
+    blobs = tiles.select("tile", "fps")
+    across = (
+        pairs.select(F.col("tile").alias("_one"), F.col("two").alias("_two")).repartition(n)
+        .join(blobs.select(F.col("tile").alias("_one"), F.col("fps").alias("one")), "_one")
+        .join(blobs.select(F.col("tile").alias("_two"), F.col("fps").alias("two")), "_two")
+        .select("one", "two")
     )
-    across = one.join(two, close).select(F.col("one.fps").alias("one"), F.col("two.fps").alias("two"))
     return within.union(across).repartition(n).mapInArrow(_compare(radius), "a long, b long")
 
 
-def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+def grouped(rows: DataFrame, radius: int = RADIUS, most_hot: int = MOST_HOT) -> DataFrame:
     """``fingerprints`` with ``component_id`` and ``keep_fp``, the fingerprint of the row that stands for all."""
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     reached = components(links(distinct.select("fp"), radius))
     of_print = distinct.join(reached, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("least", "fp").alias("group")
+        "fp", "first_id", "n", F.coalesce("least", "fp").alias("group")
     )
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp"))
     of_group = of_print.groupBy("group").agg(first.alias("best"))
-    named = of_print.join(of_group, "group").select(
-        "fp", F.col("best.first_id").alias("component_id"), F.col("best.fp").alias("keep_fp")
+    sizes = reached.groupBy(F.col("least").alias("group")).agg(F.count(F.lit(1)).alias("members"))
+    best = of_group.join(sizes, "group", "left").select(
+        "group", F.coalesce("members", F.lit(1)).alias("n"), F.col("best.first_id").alias("component_id"), F.col("best.fp").alias("keep_fp")
     )
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "keep_fp")
+    total = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    members = of_print.select("fp", "group", F.col("n").alias("copies"))
+    named = cut(joined(members, best, ["group"], total[0], most_hot=most_hot).select("fp", F.col("copies").alias("n"), "component_id", "keep_fp"))
+    return joined(rows, named, ["fp"], total[1], most_hot=most_hot).select("doc_id", "fp", "component_id", "keep_fp")
 
 
 def near_duplicates(
