@@ -89,11 +89,67 @@ def test_filters_merge_without_loss():
         assert (fps == want[0]).all() and (counts == want[1]).all()
 
 
-def test_repeated_fingerprints_beyond_broadcast(spark, odd_docs, monkeypatch):
-    want = sorted(map(str, exact.decisions(odd_docs).drop("kept").collect()))
-    monkeypatch.setattr(exact, "BROADCAST_FPS", 0)
-    monkeypatch.setattr(exact, "BROADCAST_GROUPS", 0)
-    assert sorted(map(str, exact.decisions(odd_docs).drop("kept").collect())) == want
+@pytest.fixture(scope="session")
+def hot_docs(spark):
+    """A third of all rows are one text, a third hold one line; ids repeat and are null."""
+    line = "a line that a third of all documents of this table hold somewhere"
+    rows = [(i, "one text that a third of all rows have, word for word") for i in range(200)]
+    rows += [(i if i % 50 else None, f"{line}\n{'x' * 40}{i % 60}\nbye") for i in range(200, 400)]
+    rows += [(i // 2, f"text number {i} and some other words, enough to make a line of it") for i in range(800, 1000)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+@pytest.mark.parametrize("most_hot", [1, 50, 1 << 30])
+def test_hot_groups_by_broadcast_and_by_shuffle(spark, odd_docs, hot_docs, most_hot):
+    """Nothing, something and everything counts as hot; results are the same."""
+    from weftline.llm import lines
+
+    for docs in (odd_docs, hot_docs):
+        want = sorted(map(str, exact.decisions(docs).drop("kept").collect()))
+        assert sorted(map(str, exact.decisions(docs, most_hot=most_hot).drop("kept").collect())) == want
+        want = sorted(map(str, lines.deduplicated(docs).collect()))
+        assert sorted(map(str, lines.deduplicated(docs, most_hot=most_hot, shard_keys=3, portion=20).collect())) == want
+
+
+def plain_lines(docs):
+    from collections import defaultdict
+
+    from weftline.llm.lines import NO_DOC, line_key
+
+    held = defaultdict(set)
+    for i, t in docs:
+        for line in (t or "").split("\n"):
+            held[line_key(line, 40)].add(NO_DOC if i is None else i)
+    out = []
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        keys = [line_key(x, 40) for x in lines]
+        stay = [x for x, k in zip(lines, keys) if k is None or len(held[k]) < 5 or max(held[k]) == (NO_DOC if i is None else i)]
+        out.append((i, len(lines), len(lines) - len(stay), "\n".join(stay).encode()))
+    return sorted(out, key=str)
+
+
+def test_lines_by_brute_force(spark, odd_docs, hot_docs):
+    from weftline.llm import lines
+
+    for docs in (odd_docs, hot_docs):
+        found = [(r[0], r[1], r[2], bytes(r[3])) for r in lines.deduplicated(docs).collect()]
+        assert sorted(found, key=str) == plain_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_filters_are_maintained(spark):
+    import os
+
+    from weftline.llm import lines
+
+    keys = [os.urandom(16) for _ in range(900)]
+    df = lambda some: spark.createDataFrame([(bytearray(k),) for k in some], "key binary")
+    before, after = df(keys[:500]), df(keys[300:])
+    now = lines.maintained(lines.filters(before, 4), before, after, 4).collect()
+    tables = {r["shard"]: lines.Cuckoo.from_bytes(bytes(r["filter"])) for r in now}
+    where = {bytes(r["key"]): r["shard"] for r in df(keys).select("key", lines.shard_of(4)).collect()}
+    assert all(k in tables[where[k]] for k in keys[300:])
+    assert sum(k in tables[where[k]] for k in keys[:300]) < 20
 
 
 def test_dialogues(spark, oracle, tmp_path):
@@ -127,7 +183,6 @@ def test_lines_can_be_taken_back(spark, odd_docs):
     table = lines.compacted(lines.inserted(docs)).drop("sign")
     one = sorted(map(str, lines.deduplicated(docs, refs=table).collect()))
     assert one == sorted(map(str, lines.deduplicated(docs).collect()))
-    assert one == sorted(map(str, lines.deduplicated(docs, broadcast_keys=0).collect()))
     assert lines.deduplicated(odd_docs).where("n_dropped > 0").count() == 4
 
 
