@@ -5,11 +5,13 @@
 2. Each partition builds counting quotient filters of its fingerprints, one for each
    range of high bits ("shard"). Filters of a shard merge without loss: their remainders
    are read back in sorted order and counts of equal fingerprints added.
-3. Fingerprints with a count above one route the texts that have them to verification:
-   texts are grouped by their bytes, partial groups first, so a text with a third of all
-   rows leaves each task as one row. Texts of other fingerprints never move.
+3. Fingerprints with a count above one make a gate (``operators.skew``: a bit map of
+   bounded size) through which their texts, and few others, pass to verification: texts
+   are grouped by their bytes, partial groups first, so a text with a third of all rows
+   leaves each task as one row. Texts that the gate holds back never move.
 4. Of each verified group, the row with the most code points, then the smallest id,
-   stays.
+   stays. Rows of large groups learn so by broadcast (at most ``skew.MOST_HOT`` groups,
+   each with more than that share of all rows), rows of others by shuffle.
 
 Texts are equal when identical without the six white-space characters. A null text
 counts as empty, and all empty texts are one group. A null id ranks after every other
@@ -35,14 +37,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.survivors import surviving
 from weftline.llm.texts import SPACE, whole, without
+from weftline.operators.skew import MOST_HOT, gate, joined, split
 from weftline.session import cut
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 FLUSH = 1 << 20
-#: Fingerprints that may be sent to every executor: 8 MB of them. More are joined by shuffle.
-BROADCAST_FPS = 1 << 20
-#: Groups whose rows (some 100 bytes) may be sent to every executor, so that a hot one never meets in a task.
-BROADCAST_GROUPS = 1 << 17
+#: The seed that Spark's own xxhash64 has, so that tasks in Python and in the JVM agree.
+SEED = 42
 
 
 # -- counting quotient filter ---------------------------------------------------------
@@ -105,15 +106,28 @@ def cqf_unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return fps, counts
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending sequences of distinct fingerprints and their counts as one."""
+    (one, n_one), (two, n_two) = a, b
+    at = np.searchsorted(one, two)
+    known = np.zeros(len(two), bool)
+    inside = at < len(one)
+    known[inside] = one[at[inside]] == two[inside]
+    counts = n_one.copy()
+    counts[at[known]] += n_two[known]
+    return np.insert(one, at[~known], two[~known]), np.insert(counts, at[~known], n_two[~known])
+
+
 def cqf_merge(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All fingerprints of the filters in order, counts of equal ones added."""
+    """All fingerprints of the filters in order, counts of equal ones added.
+
+    Filters are read in the order of their sorted remainders and merged two by two.
+    """
     parts = [cqf_unpack(b) for b in blobs]
-    fps = np.concatenate([p[0] for p in parts])
-    counts = np.concatenate([p[1] for p in parts])
-    order = np.argsort(fps, kind="stable")
-    fps, counts = fps[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1])))
-    return fps[first], np.add.reduceat(counts, first)
+    while len(parts) > 1:
+        pairs = [_merged(*parts[i : i + 2]) for i in range(0, len(parts) - 1, 2)]
+        parts = pairs + parts[len(pairs) * 2 :]
+    return parts[0]
 
 
 # -- Spark jobs -----------------------------------------------------------------------
@@ -124,7 +138,7 @@ def normalised(column: pa.Array) -> list[bytes]:
 
 
 def _fingerprint(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data)
+    return xxhash.xxh64_intdigest(data, SEED)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,59 +206,31 @@ def repeated_fingerprints(digest_rows: DataFrame) -> DataFrame:
     return built.groupBy("shard").applyInArrow(_repeated, "fp long, n long")
 
 
-def _routed(wanted):
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps = None if wanted is None else wanted.value
-        for batch in batches:
-            bare = normalised(batch.column(0))
-            prints = np.array([_fingerprint(b) for b in bare], np.uint64).view(np.int64)
-            if fps is not None:
-                places = np.minimum(np.searchsorted(fps, prints), len(fps) - 1)
-                at = np.flatnonzero(fps[places] == prints)
-            else:
-                at = np.arange(len(bare))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prints[at]), pa.array([bare[i] for i in at], pa.binary())], names=["fp", "bare"]
-            )
-
-    return route
-
-
-def verified_groups(docs: DataFrame, repeated: DataFrame, text: str = "text") -> DataFrame:
-    """``fp, sha, n``: texts with a repeated fingerprint, grouped by their bytes."""
-    spark = docs.sparkSession
-    n = repeated.count()
-    schema = "fp long, bare binary"
-    if n == 0:
-        return spark.createDataFrame([], "fp long, sha binary, n long")
-    if n <= BROADCAST_FPS:
-        fps = np.sort(np.array([r[0] for r in repeated.select("fp").toLocalIterator()], np.int64))
-        routed = docs.select(text).mapInArrow(_routed(spark.sparkContext.broadcast(fps)), schema)
-    else:
-        routed = docs.select(text).mapInArrow(_routed(None), schema).join(repeated.select("fp"), "fp", "left_semi")
-    groups = routed.groupBy("fp", "bare").agg(F.count(F.lit(1)).alias("n"))
-    return groups.where("n > 1").select("fp", F.unhex(F.sha2("bare", 256)).alias("sha"), "n")
-
-
-def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def verified_groups(docs: DataFrame, door: DataFrame, text: str = "text") -> DataFrame:
+    """``fp, sha, size``: texts whose fingerprint passes the gate, grouped by their bytes."""
+    bare = docs.select(without(whole(text), SPACE).alias("bare"))
+    _, routed = split(bare, F.xxhash64("bare"), door)
+    groups = routed.groupBy("bare").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return groups.select(F.xxhash64("bare").alias("fp"), F.unhex(F.sha2("bare", 256)).alias("sha"), "size")
+
+
+def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_hot: int = MOST_HOT) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, len``."""
     rows = digests(docs, doc_id, text)
-    repeated = cut(repeated_fingerprints(rows))
-    few = repeated.count() <= BROADCAST_GROUPS
-    groups = verified_groups(docs, repeated, text)
+    door = cut(gate(repeated_fingerprints(rows).select("fp")))
+    alone, several = split(rows, F.col("fp"), door)
     rank = F.struct("len", (-F.coalesce("doc_id", F.lit(2**63 - 1))).alias("id"), (-F.col("row_no")).alias("row"))
-    best = (
-        rows.join(F.broadcast(repeated.select("fp")) if few else repeated.select("fp"), "fp", "left_semi")
-        .groupBy("fp", "sha")
-        .agg(F.max(rank).alias("best"), F.max_by("doc_id", rank).alias("keep_id"))
-    )
-    kept = groups.join(best, ["fp", "sha"]).select(
-        "fp", "sha", "n", "keep_id", (-F.col("best.row")).alias("keep_row")
+    best = several.groupBy("fp", "sha").agg(F.max(rank).alias("best"), F.max_by("doc_id", rank).alias("keep_id"))
+    kept = cut(
+        verified_groups(docs, door, text).join(best, ["fp", "sha"])
+        .select("fp", "sha", F.col("size").alias("n"), "size", "keep_id", (-F.col("best.row")).alias("keep_row"))
     )
-    return rows.join(F.broadcast(kept) if few else kept, ["fp", "sha"], "left").select(
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("size", "keep_id", "keep_row")]
+    looked = joined(several, kept, ["fp", "sha"], rows.count(), "left", most_hot).unionByName(alone.select("*", *nothing))
+    return looked.select(
         "doc_id",
-        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).alias("group_size"),
+        F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).alias("group_size"),
         F.coalesce(F.col("row_no") == F.col("keep_row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         "len",

@@ -1,10 +1,10 @@
 """The rows of a table that a dedup keeps, found by their ids.
 
 Deciding reads lean rows (id, a mark of the text, keep or not); texts move only where
-they must. Ids that go are few or many: up to ``BROADCAST_IDS`` of them are sent to all
-tasks, so texts stay where they are; more are joined by shuffle. An id that several rows
-have says too little: such rows are looked up by id and mark, and of rows that agree in
-both one stays.
+they must. Ids of which not every row stays make a gate of bounded size
+(``operators.skew``); texts that it holds back stay where they are, the others are looked
+up by id, frequent ids by broadcast. An id that several rows have says too little: such
+rows are looked up by id and mark, and of rows that agree in both one stays.
 """
 
 from __future__ import annotations
@@ -12,39 +12,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.skew import MOST_HOT, gate, joined, split
 from weftline.session import cut
 
-#: 8 MB of ids.
-BROADCAST_IDS = 1 << 20
 
-
-def _sent(ids: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
-
-
-def surviving(docs: DataFrame, decided: DataFrame, mark: Column, doc_id: str = "doc_id") -> DataFrame:
+def surviving(docs: DataFrame, decided: DataFrame, mark: Column, doc_id: str = "doc_id", most_hot: int = MOST_HOT) -> DataFrame:
     """Rows of ``docs`` that ``decided`` (``doc_id, mark, keep``, a row for each row of ``docs``) keeps.
 
     ``mark`` is the expression over ``docs`` that gave ``decided`` its marks.
     """
+    key = F.xxhash64(F.col(doc_id).cast("long"))
+    name = F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null"))
     odd = cut(
-        decided.groupBy("doc_id")
+        decided.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.xxhash64("doc_id").alias("_hash"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("stay"))
         .where("n > 1 OR stay = 0")
     )
-    rows = docs.alias("d")
-    same = F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col("g.doc_id"))
-    plain = rows.join(_sent(odd.select("doc_id"), odd.count()).alias("g"), same, "left_anti")
-    several = odd.where("n > 1 AND stay > 0").select("doc_id")
-    n = several.count()
-    if n == 0:
-        return plain
-    again = rows.join(_sent(several, n).alias("g"), same, "left_semi")
-    marked = again.select(
-        F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("_row"),
-        F.col(f"d.{doc_id}").cast("long").alias("_id"),
-        mark.alias("_mark"),
+    plain, several = split(docs, key, cut(gate(odd.select("_hash"))))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    looked = joined(
+        several.select(whole, name.alias("_id")), odd.select("_id", "n", "stay", F.col("n").alias("of")), ["_id"], decided.count(), "left", most_hot
     )
-    keys = decided.where("keep").select("doc_id", "mark").distinct()
-    found = marked.join(keys, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("mark")), "left_semi")
-    return plain.unionByName(found.dropDuplicates(["_id", "_mark"]).select("_row.*"))
+    single = looked.where("of IS NULL").select("_row.*")
+    if odd.where("n > 1 AND stay > 0").isEmpty():
+        return plain.unionByName(single)
+    marked = several.select(whole, name.alias("_id"), mark.alias("_mark"))
+    staying = decided.where("keep").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("mark").alias("_mark"))
+    several_ids = odd.where("n > 1 AND stay > 0").select("_id")
+    keys = staying.join(several_ids, "_id", "left_semi").distinct()
+    found = marked.join(keys, ["_id", "_mark"], "left_semi").groupBy("_id", "_mark").agg(F.any_value("_row").alias("_row"))
+    return plain.unionByName(single).unionByName(found.select("_row.*"))
