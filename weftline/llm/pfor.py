@@ -10,16 +10,18 @@ Layout, little-endian: magic, counts (documents, ids, blocks, block size); docum
 minimum (uint32), width (uint8), exceptions (uint16), packed words (uint64), exception
 places (uint16) and high parts (uint32).
 
-``written`` deals documents out by ranges of their id, found from the ids alone, so that
-only encoded ids (packed, two to three bytes each) are shuffled. Each task writes files of
-at most ``FILE_IDS`` ids (or one longer document) to a new folder in the shared folder,
-under names that no other attempt uses, and returns a manifest row for each; a lost or
-repeated attempt leaves a file that no manifest names. ``read`` reads what the manifest
-names.
-
-Ids ascend; null ids stand last; repeated ids are ordered by their tokens and all stay. A
-null text has the end id alone. Other columns are not read. An empty table writes nothing
-and reads as an empty result.
+``written`` encodes and writes where the rows are if they stand in order: that is, if a
+look at the ids alone shows that they ascend in each task's share and that no two shares
+overlap. Else texts are dealt out by ranges of their id first (rows of one id by their
+text, so a hot id is spread) and sorted there. Each task writes files of at most
+``FILE_IDS`` ids (or one longer document) to a new folder in the shared folder, under
+names that no other attempt uses, and returns a manifest row for each; a lost or repeated
+attempt leaves a file that no manifest names. ``read`` reads what the manifest names. The
+manifest is held against the order once more, so rows that moved meanwhile are dealt out.
+
+Ids ascend; null ids stand last; rows of one id are ordered by a hash of their text, then
+the text, and all stay. A null text has the end id alone. Other columns are not read. An
+empty table writes nothing and reads as an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from weftline.session import cut, shared_dir
 MAGIC = b"WPFR0001"
 BLOCK = 1024
 PERCENTILE = 95
-FILE_IDS = 1 << 21
+FILE_IDS = 1 << 22
 END_ID = 2
 HEAD = struct.Struct("<8sIQII")
 BLOCK_HEAD = struct.Struct("<IBH")
@@ -172,86 +174,107 @@ def from_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 # -- Spark jobs -----------------------------------------------------------------------
 
 
-def _narrow(ids: bytes) -> bytes:
-    """32-bit ids as 16-bit ones behind a mark, where all fit."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x04" + ids
+def storage(folder: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's view of a folder that Spark names; Hadoop's names of object stores are Arrow's here."""
+    scheme, colon, rest = folder.partition("://")
+    known = {"s3a": "s3", "s3n": "s3", "abfs": "abfs", "abfss": "abfs"}
+    return fs.FileSystem.from_uri(f"{known.get(scheme, scheme)}://{rest}" if colon else folder)
 
 
-def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2", offset=1).astype("<u4") if data[0] == 2 else np.frombuffer(data, "<u4", offset=1)
+SHARE = "n long, first long, last long, ascending boolean"
 
 
-def _encoded(path: str, classes: Classes, end_id: int, bounds: list[int]):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(path, classes).encode
-        end = np.array([end_id], "<u4").tobytes()
-        edges = np.array(bounds, np.int64)
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some in in_parts(texts):
-                own = doc_ids[some]
-                data = [_narrow(b + end) for b in to_ids([t or "" for t in texts[some]])]
-                shards = np.searchsorted(edges, np.array([2**63 - 1 if i is None else i for i in own], np.int64), "right")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shards.astype(np.int64)), pa.array(own, pa.int64()), pa.array(data, pa.binary())],
-                    names=["shard", "doc_id", "ids"],
-                )
-
-    return encode
+def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and last id of a task's share, and whether its ids ascend (none null or repeated)."""
+    n, first, last, ascending = 0, None, None, True
+    for batch in batches:
+        ids = batch.column(0)
+        if not len(ids):
+            continue
+        if ids.null_count:
+            ascending = False
+            ids = ids.drop_null()
+        ids = ids.to_numpy()
+        n += batch.num_rows
+        if len(ids):
+            ascending = ascending and bool((ids[1:] > ids[:-1]).all()) and (last is None or int(ids[0]) > last)
+            first = int(ids[0]) if first is None else first
+            last = int(ids[-1])
+    row = {"n": [n], "first": [first], "last": [last], "ascending": [ascending]}
+    yield pa.RecordBatch.from_pydict(row, pa.schema([("n", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("ascending", pa.bool_())]))
+
+
+def in_order(shares: DataFrame) -> bool:
+    """Whether ids ascend in each share and shares do not overlap; one row for each task."""
+    by_first = Window.orderBy("first")
+    apart = shares.where("n > 0").select(
+        "ascending", (F.col("first") > F.coalesce(F.lag("last").over(by_first), F.col("first") - 1)).alias("apart")
+    )
+    return apart.where("NOT ascending OR apart IS NULL OR NOT apart").isEmpty()
 
 
-MANIFEST = "shard long, segment long, path string, n_docs long, n_ids long"
+MANIFEST = "shard long, segment long, path string, n_docs long, n_ids long, first long, last long, ascending boolean"
+_MANIFEST = pa.schema(
+    [(c, pa.int64()) for c in ("shard", "segment")] + [("path", pa.string())]
+    + [(c, pa.int64()) for c in ("n_docs", "n_ids", "first", "last")] + [("ascending", pa.bool_())]
+)
 
 
-def _writer(folder: str):
+def _writer(path: str, classes: Classes, end_id: int, folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
-        attempt = TaskContext.get().taskAttemptId()
-        shard, segment, doc_ids, parts = None, 0, [], []
+        to_ids = encoder(path, classes).encode
+        end = np.array([end_id], "<u4").tobytes()
+        store, base = storage(folder)
+        shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        segment, held, doc_ids, parts = 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate(parts)
+            ids = np.frombuffer(b"".join(parts), "<u4")
             name = f"{shard:08d}-{segment:06d}-{attempt}.pfor"
             with store.open_output_stream(f"{base}/{name}") as out:
-                out.write(to_file(doc_ids, [len(p) for p in parts], ids))
-            row = {"shard": [shard], "segment": [segment], "path": [name], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]}
-            return pa.RecordBatch.from_pydict(row)
+                out.write(to_file(doc_ids, [len(p) // 4 for p in parts], ids))
+            ascending = None not in doc_ids and all(map(int.__lt__, doc_ids, doc_ids[1:]))
+            row = (shard, segment, name, len(doc_ids), len(ids), doc_ids[0], doc_ids[-1], ascending)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _MANIFEST.types)], schema=_MANIFEST)
 
-        held = 0
         for batch in batches:
-            for s, i, data in zip(*[c.to_pylist() for c in batch.columns]):
-                ids = _wide(data)
-                if parts and (s != shard or held + len(ids) > FILE_IDS):
-                    yield flush()
-                    segment = segment + 1 if s == shard else 0
-                    doc_ids, parts, held = [], [], 0
-                elif s != shard:
-                    segment = 0
-                shard = s
-                doc_ids.append(i)
-                parts.append(ids)
-                held += len(ids)
+            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for some in in_parts(texts):
+                for doc_id, ids in zip(own[some], to_ids([t or "" for t in texts[some]])):
+                    if parts and held + len(ids) // 4 + 1 > FILE_IDS:
+                        yield flush()
+                        segment, held, doc_ids, parts = segment + 1, 0, [], []
+                    doc_ids.append(doc_id)
+                    parts.append(ids + end)
+                    held += len(ids) // 4 + 1
         if parts:
             yield flush()
 
     return write
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``doc_id, text`` dealt out by ranges of the id, and sorted in each."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
+    keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("salt", F.monotonically_increasing_id() % 1024)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash")]
+    ranged = keyed.repartitionByRange(parts, *order, F.col("salt"))
+    return ranged.sortWithinPartitions(*order, "text").select("doc_id", "text")
+
+
 def written(
     docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Writes files of all rows to ``folder``; returns their manifest."""
-    spark = docs.sparkSession
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = storage(folder)
     store.create_dir(base)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / n for i in range(1, n)]
-    bounds = rows.agg(F.percentile_approx("doc_id", shares, 100 * n)).first()[0] or []
-    encoded = rows.mapInArrow(_encoded(vocabulary, tokenizers_classes(), end_id, sorted(set(bounds))), "shard long, doc_id long, ids binary")
-    dealt = encoded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "ids")
-    return cut(dealt.mapInArrow(_writer(folder), MANIFEST))
+    write = _writer(vocabulary, tokenizers_classes(), end_id, folder)
+    if in_order(rows.select("doc_id").mapInArrow(_share, SHARE)):
+        manifest = cut(rows.mapInArrow(write, MANIFEST))
+        if in_order(manifest.withColumn("n", F.col("n_docs"))):
+            return manifest
+    return cut(dealt(rows).mapInArrow(write, MANIFEST))
 
 
 READ = "name string, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -281,9 +304,9 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    # shards are as many as the write had ranges; their sums are all that one task sees
-    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.groupBy("shard").agg(F.sum("n_ids").alias("n")).select(
+    # shards are as many as the write had tasks; their sums are all that one task sees
+    ahead = Window.orderBy(F.col("from").asc_nulls_last(), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.min_by("first", "segment").alias("from")).select(
         "shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("shard_first")
     )
     inside = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
