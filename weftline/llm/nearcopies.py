@@ -30,12 +30,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.components import components
 from weftline.llm.simhash import SEED, TILE
-from weftline.llm.survivors import BROADCAST_IDS, surviving
+from weftline.llm.survivors import surviving
+from weftline.operators.components import components
+from weftline.operators.skew import MOST_HOT, gate, joined, split
 from weftline.session import cut
 
 SHINGLE = 5
@@ -128,25 +130,30 @@ def _set_of(shingle: int):
     return run
 
 
-TILES = "key long, tile int, low long, high long, nodes binary, ns binary, bits binary, labels binary, no array<struct<a: long, b: long>>"
-_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
+TILES = "key long, tile long, low long, high long, nodes binary, ns binary, bits binary, labels binary, no array<struct<a: long, b: long>>"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
 _NAMES = ["key", "tile", "low", "high", "nodes", "ns", "bits", "labels", "no"]
 
 
 def _tiler(tile: int):
-    """Tiles of each key's nodes; keys with a single one are left out."""
+    """Tiles of each key's nodes, numbered by task; keys with a single one are left out.
+
+    A key at either end of a task's rows may go on in the next task, so it stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tiles, held = None, 0, []
+        number, keys = TaskContext.get().partitionId() << 32, 0
 
-        def close(out: list) -> None:
-            nonlocal tiles, held
-            if len(held) > 1 or tiles and held:
+        def close(out: list, last: bool = False) -> None:
+            nonlocal tiles, held, number
+            if len(held) > 1 or held and (tiles or keys == 1 or last):
                 nodes, ns, bits, labels, no = zip(*held)
                 whole = [np.array(x, np.int64).tobytes() for x in (nodes, ns, labels)]
                 refuted = [{"a": a, "b": b} for a, others in zip(nodes, no) for b in others or ()]
-                out.append((key, tiles, ns[0], ns[-1], whole[0], whole[1], b"".join(bits), whole[2], refuted))
+                out.append((key, number, ns[0], ns[-1], whole[0], whole[1], b"".join(bits), whole[2], refuted))
                 tiles += 1
+                number += 1
             held = []
 
         def made(out: list) -> pa.RecordBatch:
@@ -158,14 +165,14 @@ def _tiler(tile: int):
             for now, *row in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != now:
                     close(out)
-                    key, tiles = now, 0
+                    key, tiles, keys = now, 0, keys + 1
                 elif len(held) >= tile:
                     close(out)
                 held.append(row)
             yield made(out)
         out = []
         if key is not None:
-            close(out)
+            close(out, last=True)
         yield made(out)
 
     return run
@@ -241,13 +248,21 @@ def candidates(nodes: DataFrame, least: float = LEAST, tile: int = TILE, few: in
     """``a, b`` (``a`` below ``b``) of ``node, n, bits, keys, label, no``, each once; a row of nulls says that some were left out."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "n", "bits", "label", "no")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartition(n, "key").sortWithinPartitions("key", "n", "node")
+    # by ranges, so that a key with many nodes is cut over several tasks
+    ordered = keyed.repartitionByRange(n, "key", "n", "node").sortWithinPartitions("key", "n", "node")
     tiles = cut(ordered.mapInArrow(_tiler(tile), TILES))
-    body = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("nodes", "ns", "bits", "labels", "no")])
-    one, two = tiles.alias("one"), tiles.where("tile > 0").alias("two")
-    close = (F.col("one.key") == F.col("two.key")) & (F.col("one.tile") < F.col("two.tile")) & (F.col("two.low") * least <= F.col("one.high") + 1e-9)
-    across = one.join(two, close).select(body("one").alias("one"), body("two").alias("two"))
-    within = one.select(body("one").alias("one"), F.lit(None).cast(across.schema["two"].dataType).alias("two"))
+    body = F.struct("nodes", "ns", "bits", "labels", "no")
+    # pairs are made of numbers alone, dealt out, and only then given their nodes
+    lean = tiles.select("key", "tile", "high")
+    ahead = tiles.select("key", F.col("tile").alias("two"), "low")
+    pairs = lean.join(ahead, "key").where(F.col("tile") < F.col("two")).where(F.col("low") * least <= F.col("high") + 1e-9)
+    across = (
+        pairs.select(F.col("tile").alias("_one"), F.col("two").alias("_two")).repartition(n)
+        .join(tiles.select(F.col("tile").alias("_one"), body.alias("one")), "_one")
+        .join(tiles.select(F.col("tile").alias("_two"), body.alias("two")), "_two")
+        .select("one", "two")
+    )
+    within = tiles.select(body.alias("one"), F.lit(None).cast(across.schema["two"].dataType).alias("two"))
     return within.union(across).repartition(n).mapInArrow(_compare(least, few), "a long, b long").distinct()
 
 
@@ -267,10 +282,8 @@ def _verify(least: float):
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
     """``a, b, alike`` by the sets of shingles; ``docs``: ``doc_id, text``."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node"))
-    ids = wanted.select("first_id").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_set_of(shingle), "node long, members binary").dropDuplicates(["node"])
+    _, texts = split(docs, F.xxhash64("doc_id"), cut(gate(wanted.select(F.xxhash64("first_id")))))
+    sets = texts.select("text").mapInArrow(_set_of(shingle), "node long, members binary").dropDuplicates(["node"])
     sets = cut(sets.join(wanted.select("node"), "node", "left_semi"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b"
@@ -278,11 +291,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float =
     return both.select("a", "b", "one", "two").mapInArrow(_verify(least), "a long, b long, alike boolean")
 
 
-def grouped(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, tile: int = TILE, few: int = FEW) -> DataFrame:
+def grouped(
+    docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, tile: int = TILE, few: int = FEW, most_hot: int = MOST_HOT
+) -> DataFrame:
     """``doc_id, node, component_id, keep_node`` of each row of ``docs`` (``doc_id, text``)."""
     rows = cut(docs.mapInArrow(_sketch(shingle), "doc_id long, node long, n long, bits binary, keys array<long>"))
     same = [F.first(c).alias(c) for c in ("n", "bits", "keys")]
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *same))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *same))
     labels, tried = None, None
     while True:
         if tried is None:
@@ -299,16 +314,18 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, tile:
         labels = components(tried.where("alike").select("a", "b")).select("node", F.col("least").alias("label"))
         if found.where("a IS NULL").isEmpty():
             break
-    of_node = nodes.select("node", "first_id")
+    of_node = nodes.select("node", "first_id", "copies")
     if labels is None:
         of_node = of_node.withColumn("label", F.col("node"))
     else:
         of_node = of_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("best")
-    named = of_node.join(of_node.groupBy("label").agg(best), "label").select(
-        "node", F.col("best.first_id").alias("component_id"), F.col("best.node").alias("keep_node")
-    )
-    return rows.select("doc_id", "node").join(named, "node")
+    of_node = cut(of_node)
+    best = of_node.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("best"))
+    best = best.select("label", "n", F.col("best.first_id").alias("component_id"), F.col("best.node").alias("keep_node"))
+    total = of_node.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    members = joined(of_node, best, ["label"], total[0], most_hot=most_hot)
+    named = cut(members.select("node", F.col("copies").alias("n"), "component_id", "keep_node"))
+    return joined(rows.select("doc_id", "node"), named, ["node"], total[1], most_hot=most_hot)
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
