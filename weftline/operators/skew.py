@@ -2,7 +2,8 @@
 
 ``joined`` looks keys up in a table that knows how many rows each key has: keys above a
 share of all rows are sent to all tasks, and there are at most ``MOST_HOT`` of them however
-large the input; all other keys go by shuffle, and none of them fills a task.
+large the input; all other keys go by shuffle, and none of them fills a task. A table of
+``FEW`` rows and less cannot fill a task by any key and is joined as it is.
 
 ``gate`` folds keys into a bit map of at most ``SLOTS`` rows of 64 bits, which can be sent
 to all tasks at any size. ``split`` parts rows by it: those whose key is surely not in the
@@ -16,14 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_HOT = 1 << 14
+FEW = 1 << 16
 SLOTS_LOG2 = 19
 
 
-def joined(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", most_hot: int = MOST_HOT) -> DataFrame:
+def joined(
+    rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", most_hot: int = MOST_HOT, few: int = FEW
+) -> DataFrame:
     """``rows`` joined (``inner`` or ``left``) with ``table``: one row a key, ``n`` rows of it in ``rows``, ``total`` in all.
 
     Keys are not null. ``n`` is not in the result.
     """
+    if total <= few:
+        return rows.join(table.drop("n"), keys, how)
     limit = total // most_hot
     hot, cold = table.where(F.col("n") > limit).drop("n"), table.where(F.col("n") <= limit).drop("n")
     found = rows.join(F.broadcast(hot), keys)
