@@ -200,7 +200,8 @@ def test_components_of_long_chains(spark):
     from weftline.operators.components import components
 
     edges = spark.range(200).selectExpr("id AS a", "id + 1 AS b").union(spark.range(500, 520).selectExpr("id AS a", "500L AS b"))
-    found = {r["node"]: r["least"] for r in components(edges).collect()}
-    assert found == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(500, 520), 500)}
+    for most_hot, few in ((1 << 14, 1 << 16), (1 << 14, 0), (4, 0)):  # in one task; by rounds; the star's centre by broadcast
+        found = {r["node"]: r["least"] for r in components(edges, most_hot=most_hot, few=few).collect()}
+        assert found == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(500, 520), 500)}
 
 

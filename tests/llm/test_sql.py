@@ -106,9 +106,9 @@ def test_hot_groups_by_broadcast_and_by_shuffle(spark, odd_docs, hot_docs, most_
 
     for docs in (odd_docs, hot_docs):
         want = sorted(map(str, exact.decisions(docs).drop("kept").collect()))
-        assert sorted(map(str, exact.decisions(docs, most_hot=most_hot).drop("kept").collect())) == want
+        assert sorted(map(str, exact.decisions(docs, most_hot=most_hot, few=0).drop("kept").collect())) == want
         want = sorted(map(str, lines.deduplicated(docs).collect()))
-        assert sorted(map(str, lines.deduplicated(docs, most_hot=most_hot, shard_keys=3, portion=20).collect())) == want
+        assert sorted(map(str, lines.deduplicated(docs, most_hot=most_hot, few=0, shard_keys=3, portion=20).collect())) == want
 
 
 def plain_lines(docs):

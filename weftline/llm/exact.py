@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.survivors import surviving
 from weftline.llm.texts import SPACE, whole, without
-from weftline.operators.skew import MOST_HOT, gate, joined, split
+from weftline.operators.skew import FEW, MOST_HOT, gate, joined, split
 from weftline.session import cut
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -214,7 +214,9 @@ def verified_groups(docs: DataFrame, door: DataFrame, text: str = "text") -> Dat
     return groups.select(F.xxhash64("bare").alias("fp"), F.unhex(F.sha2("bare", 256)).alias("sha"), "size")
 
 
-def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_hot: int = MOST_HOT) -> DataFrame:
+def decisions(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_hot: int = MOST_HOT, few: int = FEW
+) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, len``."""
     rows = digests(docs, doc_id, text)
     door = cut(gate(repeated_fingerprints(rows).select("fp")))
@@ -226,7 +228,7 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_
         .select("fp", "sha", F.col("size").alias("n"), "size", "keep_id", (-F.col("best.row")).alias("keep_row"))
     )
     nothing = [F.lit(None).cast("long").alias(c) for c in ("size", "keep_id", "keep_row")]
-    looked = joined(several, kept, ["fp", "sha"], rows.count(), "left", most_hot).unionByName(alone.select("*", *nothing))
+    looked = joined(several, kept, ["fp", "sha"], rows.count(), "left", most_hot, few).unionByName(alone.select("*", *nothing))
     return looked.select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.survivors import FEW_TEXTS
 from weftline.operators.skew import MOST_HOT, gate, joined, split
 from weftline.session import cut
 
@@ -302,7 +303,7 @@ def _without(min_chars: int):
 
 def deduplicated(
     docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text",
-    refs: DataFrame | None = None, shard_keys: int = SHARD_KEYS, portion: int = PORTION, most_hot: int = MOST_HOT,
+    refs: DataFrame | None = None, shard_keys: int = SHARD_KEYS, portion: int = PORTION, most_hot: int = MOST_HOT, few: int = FEW_TEXTS,
 ) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text`` (UTF-8 bytes) of each row of ``docs``.
 
@@ -318,7 +319,7 @@ def deduplicated(
     frequent = cut(of_own.where(F.col("refs") >= min_docs))
     shards = frequent.count() // shard_keys + 1
     passed = candidates(own, frequent, shards, portion=portion)
-    found = joined(passed, frequent.select("key", "last_doc", "n"), ["key"], own.count(), most_hot=most_hot)
+    found = joined(passed, frequent.select("key", "last_doc", "n"), ["key"], own.count(), most_hot=most_hot, few=few)
     once = found.where("doc_id <> last_doc").groupBy("doc_id", "mark", "key").agg(F.count(F.lit(1)).alias("n"))
     gone = cut(once.groupBy("doc_id", "mark").agg(F.max("n").alias("n"), F.collect_list("key").alias("gone")))
     same = (F.coalesce("doc_id", F.lit(NO_DOC)), F.col("mark"))
@@ -327,7 +328,7 @@ def deduplicated(
     n_lines = (F.length(stays) - F.length(F.replace(stays, F.lit("\n"), F.lit(""))) + 1).cast("long")
     as_is = whole.select("doc_id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), stays.cast("binary").alias("kept_text"))
     named = fewer.select(same[0].alias("of"), "mark", "text")
-    looked = joined(named, gone.withColumnRenamed("doc_id", "of"), ["of", "mark"], rows.count(), "left", most_hot)
+    looked = joined(named, gone.withColumnRenamed("doc_id", "of"), ["of", "mark"], rows.count(), "left", most_hot, few)
     cleaned = looked.select(F.nullif("of", F.lit(NO_DOC)).alias("doc_id"), "text", "gone").mapInArrow(_without(min_chars), OUT)
     return as_is.unionByName(cleaned)
 

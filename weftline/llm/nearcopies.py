@@ -48,7 +48,7 @@ FIRST = 22
 BANDS = 20
 ROWS = 4
 #: Candidates of a pair of tiles that are all given, for each node in it.
-FEW = 4
+FEW = 64
 #: Hashes whose bits are counted together, and rows that a task holds in Python at a time.
 TOGETHER = 1 << 12
 AT_ONCE = 256

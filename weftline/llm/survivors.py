@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from weftline.operators.skew import MOST_HOT, gate, joined, split
 from weftline.session import cut
 
+#: Texts that one task can sort.
+FEW_TEXTS = 1 << 12
+
 
 def surviving(docs: DataFrame, decided: DataFrame, mark: Column, doc_id: str = "doc_id", most_hot: int = MOST_HOT) -> DataFrame:
     """Rows of ``docs`` that ``decided`` (``doc_id, mark, keep``, a row for each row of ``docs``) keeps.
@@ -31,7 +34,7 @@ def surviving(docs: DataFrame, decided: DataFrame, mark: Column, doc_id: str = "
     plain, several = split(docs, key, cut(gate(odd.select("_hash"))))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     looked = joined(
-        several.select(whole, name.alias("_id")), odd.select("_id", "n", "stay", F.col("n").alias("of")), ["_id"], decided.count(), "left", most_hot
+        several.select(whole, name.alias("_id")), odd.select("_id", "n", "stay", F.col("n").alias("of")), ["_id"], decided.count(), "left", most_hot, FEW_TEXTS
     )
     single = looked.where("of IS NULL").select("_row.*")
     if odd.where("n > 1 AND stay > 0").isEmpty():
