@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.survivors import surviving
 from weftline.llm.texts import SPACE, whole, without
+from weftline.llm.tokens import release
 from weftline.operators.skew import FEW, MOST_HOT, gate, joined, split
 from weftline.session import cut
 
@@ -142,6 +143,7 @@ def _fingerprint(data: bytes) -> int:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     row = (TaskContext.get().partitionId()) << 36
     for batch in batches:
         bare = normalised(batch.column(1))

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.simhash import SEED, TILE
 from weftline.llm.survivors import surviving
+from weftline.llm.tokens import release
 from weftline.operators.components import components
 from weftline.operators.skew import MOST_HOT, gate, joined, split
 from weftline.session import cut
@@ -107,6 +108,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketch(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in _parts(batches):
             rows = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
@@ -124,7 +126,7 @@ def _set_of(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             sets = [shingles(t or b"", shingle) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            made = [pa.array([sign(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())]
+            made = [pa.array([sign(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(made, names=["node", "members"])
 
     return run
@@ -266,29 +268,17 @@ def candidates(nodes: DataFrame, least: float = LEAST, tile: int = TILE, few: in
     return within.union(across).repartition(n).mapInArrow(_compare(least, few), "a long, b long").distinct()
 
 
-def _verify(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            alike = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(common >= least * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
-
-    return run
-
-
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
     """``a, b, alike`` by the sets of shingles; ``docs``: ``doc_id, text``."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node"))
     _, texts = split(docs, F.xxhash64("doc_id"), cut(gate(wanted.select(F.xxhash64("first_id")))))
-    sets = texts.select("text").mapInArrow(_set_of(shingle), "node long, members binary").dropDuplicates(["node"])
+    sets = texts.select("text").mapInArrow(_set_of(shingle), "node long, members array<long>").dropDuplicates(["node"])
     sets = cut(sets.join(wanted.select("node"), "node", "left_semi"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b"
     )
-    return both.select("a", "b", "one", "two").mapInArrow(_verify(least), "a long, b long, alike boolean")
+    common = F.size(F.array_intersect("one", "two"))
+    return both.select("a", "b", (common >= least * (F.size("one") + F.size("two") - common) - 1e-9).alias("alike"))
 
 
 def grouped(

@@ -28,7 +28,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, classes: Classes | None = None) -> WordCache:
     """The worker's encoder for a tokenizers file, equal to ``encode(text, add_special_tokens=False)``.
 
@@ -51,6 +51,11 @@ def encoder(path: str, classes: Classes | None = None) -> WordCache:
     return WordCache(classes or tokenizers_classes(), encode_word, specials, encode_whole)
 
 
+def release() -> None:
+    """Gives the encoder's memory back: workers outlive their tasks and turn to other work."""
+    encoder.cache_clear()
+
+
 def in_parts(texts: list[str | None]):
     """Neighbouring texts with about ``TOGETHER`` characters, as slices."""
     start = size = 0
