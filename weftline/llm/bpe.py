@@ -318,10 +318,9 @@ def _coded(path: str, classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, decoder, decimal = codec(path, classes)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for some in in_parts(texts):
+            for doc_ids, texts in in_parts(batch):
                 rows = []
-                for doc_id, text, data in zip(doc_ids[some], texts[some], cache.encode(texts[some])):
+                for doc_id, text, data in zip(doc_ids, texts, cache.encode(texts)):
                     ids = np.frombuffer(data, "<u4")
                     said = hashlib.sha256(b" ".join(map(decimal.__getitem__, ids.tolist()))).hexdigest()
                     back = hashlib.sha256()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.splitting import Classes, tokenizers_classes
-from weftline.llm.tokens import encoder, in_parts
+from weftline.llm.tokens import encoder, in_parts, trim
 from weftline.session import cut as kept
 
 CAPACITY = 2048
@@ -55,17 +55,16 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _cutter(path: str, classes: Classes, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encode = encoder(path, classes).encode
         largest = largest_pieces(capacity)
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            for some in in_parts(texts):
+            for doc_ids, texts in in_parts(batch):
                 rows = []
-                for doc_id, ids in zip(doc_ids[some], encode([t or "" for t in texts[some]])):
+                for doc_id, ids in zip(doc_ids, encode(texts)):
                     ids += end
                     n, start = len(ids) // 4, 0
                     view = memoryview(ids)

@@ -238,9 +238,8 @@ def _writer(path: str, classes: Classes, end_id: int, folder: str):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _MANIFEST.types)], schema=_MANIFEST)
 
         for batch in batches:
-            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some in in_parts(texts):
-                for doc_id, ids in zip(own[some], to_ids([t or "" for t in texts[some]])):
+            for own, texts in in_parts(batch):
+                for doc_id, ids in zip(own, to_ids(texts)):
                     if parts and held + len(ids) // 4 + 1 > FILE_IDS:
                         yield flush()
                         segment, held, doc_ids, parts = segment + 1, 0, [], []

@@ -20,7 +20,7 @@ POINTS = 0x110000
 #: The endings that the pattern takes after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Characters that are looked at together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 
 
 @dataclass(frozen=True)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from weftline.llm.splitting import TOGETHER, Classes, tokenizers_classes
 from weftline.llm.wordcache import WordCache
 
@@ -51,18 +58,27 @@ def encoder(path: str, classes: Classes | None = None) -> WordCache:
     return WordCache(classes or tokenizers_classes(), encode_word, specials, encode_whole)
 
 
+def trim() -> None:
+    """Free memory that the worker's allocators still hold goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def release() -> None:
     """Gives the encoder's memory back: workers outlive their tasks and turn to other work."""
     encoder.cache_clear()
-
-
-def in_parts(texts: list[str | None]):
-    """Neighbouring texts with about ``TOGETHER`` characters, as slices."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= TOGETHER:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    trim()
+
+
+def in_parts(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts (null: empty) of neighbouring rows of ``doc_id, text``, some ``TOGETHER`` bytes at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    share = np.cumsum(size, dtype=np.int64) // TOGETHER
+    cuts = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            some = batch.slice(a, b - a)
+            yield some.column(0).to_pylist(), [t or "" for t in some.column(1).to_pylist()]

@@ -14,8 +14,8 @@ import numpy as np
 
 from weftline.llm.splitting import TOGETHER, Classes, Splitter
 
-#: Entries in one generation; two generations take some 200 MB at most.
-LIMIT = 500_000
+#: Entries in one generation; two generations take some 150 MB at most.
+LIMIT = 400_000
 #: Longer words are encoded each time.
 LONGEST = 64
 
