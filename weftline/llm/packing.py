@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.splitting import Classes, tokenizers_classes
 from weftline.llm.tokens import encoder, in_parts, trim
+from weftline.llm.wordcache import LIMIT
 from weftline.session import cut as kept
 
 CAPACITY = 2048
@@ -53,10 +54,10 @@ def pieces_of(length: int, capacity: int, largest: list[int]) -> list[int]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, at long"
 
 
-def _cutter(path: str, classes: Classes, capacity: int, end_id: int):
+def _cutter(path: str, classes: Classes, words: int, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        encode = encoder(path, classes).encode
+        encode = encoder(path, classes, words).encode
         largest = largest_pieces(capacity)
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
@@ -111,14 +112,17 @@ def _first_fit(capacity: int):
 
 
 def packed(
-    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text",
+    words: int = LIMIT,
 ) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
+    ``words`` bounds the encoded words that a worker keeps: more is faster, fewer is smaller.
+
     ``sequence_id`` is ``bin * 2 * capacity + class``, with class 0 for opened pieces.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = kept(rows.mapInArrow(_cutter(vocabulary, tokenizers_classes(), capacity, end_id), PIECES))
+    pieces = kept(rows.mapInArrow(_cutter(vocabulary, tokenizers_classes(), words, capacity, end_id), PIECES))
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     by_part = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(

@@ -174,11 +174,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans; a random run that meets a base span adds nothing."""
+    """Base spans, and all spans; a random run inside a base span adds nothing, one that goes on beyond it does."""
     base = sorted(base_spans(text), key=lambda s: (s[0], KINDS.index(s[2])))
-    more = [
-        (a, b, "random") for a, b in random_runs(text) if not any(a < end and start < b for start, end, _ in base)
-    ]
+    more, reach, i = [], 0, 0
+    for a, b in sorted(random_runs(text)):
+        while i < len(base) and base[i][0] <= a:
+            reach, i = max(reach, base[i][1]), i + 1
+        if b > reach:
+            more.append((a, b, "random"))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -200,11 +203,19 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+#: Rows that a task turns into Python texts at a time.
+AT_ONCE = 512
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for i in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(i, AT_ONCE)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             base, full = spans_of(text or "")
@@ -223,7 +234,7 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         texts = [None if t is None else redacted(t, spans_of(t)[1]) for t in batch.column("text").to_pylist()]
         columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names]
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from weftline.llm.splitting import TOGETHER, Classes, tokenizers_classes
-from weftline.llm.wordcache import WordCache
+from weftline.llm.wordcache import LIMIT, WordCache
 
 
 def vocabulary(name: str) -> str:
@@ -36,7 +36,7 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, classes: Classes | None = None) -> WordCache:
+def encoder(path: str, classes: Classes | None = None, limit: int = LIMIT) -> WordCache:
     """The worker's encoder for a tokenizers file, equal to ``encode(text, add_special_tokens=False)``.
 
     ``classes`` are those of ``tokenizers_classes``, best made once on the driver.
@@ -55,7 +55,7 @@ def encoder(path: str, classes: Classes | None = None) -> WordCache:
     def encode_whole(text: str) -> bytes:
         return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    return WordCache(classes or tokenizers_classes(), encode_word, specials, encode_whole)
+    return WordCache(classes or tokenizers_classes(), encode_word, specials, encode_whole, limit)
 
 
 def trim() -> None:
