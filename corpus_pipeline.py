@@ -28,6 +28,10 @@ from weftline.session import shared_dir
 from weftline.sources.tables import table
 
 
+#: Words that a packing worker keeps; executors hold what earlier stages left as well.
+WORDS = 120_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs)
 
@@ -48,7 +52,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), words=WORDS)
 
 
 STAGES = [
