@@ -132,8 +132,8 @@ def _set_of(shingle: int):
     return run
 
 
-TILES = "key long, tile long, low long, high long, nodes binary, ns binary, bits binary, labels binary, no array<struct<a: long, b: long>>"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
+TILES = "key long, tile long, low long, high long, nodes binary, ns binary, bits binary, labels binary, no binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
 _NAMES = ["key", "tile", "low", "high", "nodes", "ns", "bits", "labels", "no"]
 
 
@@ -152,7 +152,7 @@ def _tiler(tile: int):
             if len(held) > 1 or held and (tiles or keys == 1 or last):
                 nodes, ns, bits, labels, no = zip(*held)
                 whole = [np.array(x, np.int64).tobytes() for x in (nodes, ns, labels)]
-                refuted = [{"a": a, "b": b} for a, others in zip(nodes, no) for b in others or ()]
+                refuted = np.array([(a, b) for a, others in zip(nodes, no) for b in others or ()], _PAIR).tobytes()
                 out.append((key, number, ns[0], ns[-1], whole[0], whole[1], b"".join(bits), whole[2], refuted))
                 tiles += 1
                 number += 1
@@ -180,23 +180,36 @@ def _tiler(tile: int):
     return run
 
 
-def _joining(pairs: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int]]:
-    """Of ``distance, node, node, label, label``, nearest first, those that join groups."""
-    root: dict[int, int] = {}
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 
-    def find(x: int) -> int:
+
+class _Forest:
+    """Of candidates given nearest first, those that join groups; done when all groups met are one."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+        self.kept: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        root = self.root
         while (up := root.get(x, x)) != x:
             root[x] = root.get(up, up)
             x = up
         return x
 
-    kept = []
-    for _, a, b, la, lb in sorted(pairs):
-        p, q = find(la), find(lb)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            kept.append((a, b))
-    return kept
+    def add(self, found: np.ndarray) -> None:
+        """``found``: columns distance, node, node, label, label."""
+        found = found[:, np.argsort(found[0], kind="stable")]
+        left = len({self.find(x) for x in np.unique(found[3:]).tolist()}) - 1
+        for i in range(0, found.shape[1], TOGETHER):
+            for _, a, b, la, lb in zip(*found[:, i : i + TOGETHER].tolist()):
+                p, q = self.find(la), self.find(lb)
+                if p != q:
+                    self.root[max(p, q)] = min(p, q)
+                    self.kept.append((a, b))
+                    left -= 1
+            if left <= 0:
+                return
 
 
 def _candidates(one: dict, two: dict | None, least: float, few: int) -> tuple[list[tuple[int, int]], bool]:
@@ -207,11 +220,11 @@ def _candidates(one: dict, two: dict | None, least: float, few: int) -> tuple[li
     a, b = (np.frombuffer(t["nodes"], np.int64) for t in (one, two))
     la, lb = (np.frombuffer(t["labels"], np.int64) for t in (one, two))
     na, nb = (np.frombuffer(t["ns"], np.int64) for t in (one, two))
-    refuted = {(r["a"], r["b"]) for t in (one, two) for r in t["no"] or ()}
-    found: list = []
+    refuted = np.concatenate([np.frombuffer(t["no"], _PAIR) for t in (one, two)])
+    most = few * (len(x) + (0 if same else len(y)))
+    held, n, forest = [], 0, None
     for i in range(0, len(x), 256):
-        cut_off = slice(i, i + 256)
-        near = np.bitwise_count(x[cut_off, None, 0] ^ y[None, :, 0]) <= FIRST
+        near = np.bitwise_count(x[i : i + 256, None, 0] ^ y[None, :, 0]) <= FIRST
         at, to = np.nonzero(near)
         at += i
         ok = (np.minimum(na[at], nb[to]) >= least * np.maximum(na[at], nb[to]) - 1e-9) & (la[at] != lb[to])
@@ -220,34 +233,46 @@ def _candidates(one: dict, two: dict | None, least: float, few: int) -> tuple[li
         at, to = at[ok], to[ok]
         apart = np.bitwise_count(x[at] ^ y[to]).sum(axis=1, dtype=np.int64)
         ok = apart <= RADIUS
-        at, to = at[ok], to[ok]
-        for d, p, q, lp, lq in zip(apart[ok].tolist(), a[at].tolist(), b[to].tolist(), la[at].tolist(), lb[to].tolist()):
-            if p > q:
-                p, q, lp, lq = q, p, lq, lp
-            if not refuted or (p, q) not in refuted:
-                found.append((d, p, q, lp, lq))
-    if len(found) <= few * (len(x) + (0 if same else len(y))):
-        return [(p, q) for _, p, q, _, _ in found], False
-    return _joining(found), True
+        at, to, apart = at[ok], to[ok], apart[ok]
+        turned = a[at] > b[to]
+        found = np.stack([apart, np.where(turned, b[to], a[at]), np.where(turned, a[at], b[to]), np.where(turned, lb[to], la[at]), np.where(turned, la[at], lb[to])])
+        if len(refuted) and found.shape[1]:
+            pairs = np.empty(found.shape[1], _PAIR)
+            pairs["a"], pairs["b"] = found[1], found[2]
+            found = found[:, ~np.isin(pairs, refuted)]
+        n += found.shape[1]
+        if forest is None:
+            held.append(found)
+            if n > most:
+                forest = _Forest()
+                forest.add(np.concatenate(held, axis=1))
+                held = []
+        elif found.shape[1]:
+            forest.add(found)
+    if forest is not None:
+        return forest.kept, True
+    return [pair for found in held for pair in zip(found[1].tolist(), found[2].tolist())], False
 
 
 def _compare(least: float, few: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs, more = [], False
+            pairs: dict = {}
             for one, two in zip(batch.column(0), batch.column(1)):
-                found, cut_short = _candidates(one.as_py(), two.as_py(), least, few)
-                pairs += found
-                more |= cut_short
-            rows = [*dict.fromkeys(pairs), *([(None, None)] if more else [])]
-            a, b = zip(*rows) if rows else ((), ())
+                one, two = one.as_py(), two.as_py()
+                found, cut_short = _candidates(one, two, least, few)
+                pairs.update(dict.fromkeys(found))
+                if cut_short:
+                    open_nodes = np.concatenate([np.frombuffer(t["nodes"], np.int64) for t in (one, two) if t is not None])
+                    pairs.update(dict.fromkeys((node, None) for node in open_nodes.tolist()))
+            a, b = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def candidates(nodes: DataFrame, least: float = LEAST, tile: int = TILE, few: int = FEW) -> DataFrame:
-    """``a, b`` (``a`` below ``b``) of ``node, n, bits, keys, label, no``, each once; a row of nulls says that some were left out."""
+    """``a, b`` (``a`` below ``b``) of ``node, n, bits, keys, label, no``, each once; ``b`` is null for nodes that have candidates left out."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "n", "bits", "label", "no")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # by ranges, so that a key with many nodes is cut over several tasks
@@ -289,21 +314,21 @@ def grouped(
     same = [F.first(c).alias(c) for c in ("n", "bits", "keys")]
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *same))
     labels, tried = None, None
+    now = nodes.withColumn("label", F.col("node")).withColumn("no", F.lit(None).cast("array<long>"))
     while True:
-        if tried is None:
-            now = nodes.withColumn("label", F.col("node")).withColumn("no", F.lit(None).cast("array<long>"))
-        else:
-            refuted = tried.where("NOT alike").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no"))
-            now = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(refuted, "node", "left")
         found = cut(candidates(now, least, tile, few))
-        pairs = found.where("a IS NOT NULL")
+        pairs = found.where("b IS NOT NULL")
         if pairs.isEmpty():
             break
         judged = cut(verified(pairs, nodes, docs, least, shingle))
         tried = judged if tried is None else tried.union(judged)
-        labels = components(tried.where("alike").select("a", "b")).select("node", F.col("least").alias("label"))
-        if found.where("a IS NULL").isEmpty():
+        labels = cut(components(tried.where("alike").select("a", "b")).select("node", F.col("least").alias("label")))
+        left = found.where("b IS NULL").select(F.col("a").alias("node")).distinct()
+        if left.isEmpty():
             break
+        # only nodes with candidates left out take part again
+        refuted = tried.where("NOT alike").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no"))
+        now = left.join(nodes, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(refuted, "node", "left")
     of_node = nodes.select("node", "first_id", "copies")
     if labels is None:
         of_node = of_node.withColumn("label", F.col("node"))
