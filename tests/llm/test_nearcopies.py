@@ -84,7 +84,7 @@ def test_small_tiles_and_rounds_lose_nothing(spark, edited):
 
 
 def test_pipeline_whole(spark, oracle, tokenizer):
-    """As ``test_search.test_pipeline_by_brute_force``, with near copies by Jaccard similarity."""
+    """The whole pipeline against a plain version, with near copies by Jaccard similarity."""
     import corpus_pipeline
     from conftest import SMALL
     from llm.test_search import WORD

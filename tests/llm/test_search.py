@@ -160,30 +160,6 @@ def test_toxicity_odd(spark, odd_docs, no_docs):
     assert not model.learned and toxicity.scored(no_docs, model).count() == 0
 
 
-def plain_pipeline(docs, oracle, folder):
-    """``doc_id -> text`` that reaches packing, by plain means."""
-    names, _, judged = oracle(catalogue.oracle_sql()["op3_quality_rules"], folder)
-    kept = {r[names.index("doc_id")] for r in judged if r[names.index("kept")]}
-    groups = {}
-    for i, t in docs:
-        if i in kept:
-            groups.setdefault("".join(WORD.findall(t)), []).append((-len(t), i, t))
-    rest = [(i, t) for _, i, t in (min(g) for g in groups.values())]
-    first = {i for i, _, c in plain_components(rest) if i == c}
-    return {i: secrets.redacted(t, secrets.spans_of(t)[1]) for i, t in rest if i in first}
-
-
-def test_pipeline_by_brute_force(spark, oracle, tokenizer):
-    import corpus_pipeline
-    from llm.test_tokens import check_packing
-
-    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    want = plain_pipeline(docs, oracle, SMALL)
-    tokenizer.encode_special_tokens = False
-    check_packing(list(want.items()), corpus_pipeline.run(spark, SMALL).collect(), tokenizer, 0.05)
-    assert not any(plain_base(t) for t in want.values())
-
-
 def test_pipeline_odd(spark, odd_docs, no_docs):
     import corpus_pipeline
 
