@@ -70,7 +70,7 @@ def test_pipeline_stage_removes_edited_copies(spark, edited):
     assert kept == set(want.values())
 
 
-def test_small_tiles_and_rounds_lose_nothing(spark, edited):
+def test_small_tiles_and_places_lose_nothing(spark, edited):
     some = edited[:120]
     rng = random.Random(2)
     base = [f"w{rng.randrange(3000)}" for _ in range(200)]
@@ -79,8 +79,41 @@ def test_small_tiles_and_rounds_lose_nothing(spark, edited):
         copy[n * 3] = f"y{n}"
         some = [*some, (1000 + n, " ".join(copy))]
     df = spark.createDataFrame(some, "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in nearcopies.grouped(df, tile=16, few=0).collect()}
-    assert found == plain_groups(some)[0]
+    want = plain_groups(some)[0]
+    for hashes in (2000, nearcopies.HASHES):
+        found = {r["doc_id"]: r["component_id"] for r in nearcopies.grouped(df, tile=16, few=0, hashes=hashes).collect()}
+        assert found == want
+
+
+def test_islands_of_a_family_stay_apart(spark):
+    """Copies of one base that differ in more than a fifth link only where sets say so."""
+    rng = random.Random(5)
+    base = [f"w{n}" for n in range(150)]
+    some = []
+    for island in range(6):
+        root = list(base)
+        for k in rng.sample(range(150), 5):
+            root[k] = f"i{island}_{k}"
+        for n in range(25):
+            copy = list(root)
+            for k in rng.sample(range(150), rng.choice((1, 2, 3))):
+                copy[k] = f"y{rng.randrange(3000)}"
+            some.append((island * 25 + n, " ".join(copy)))
+    want, _ = plain_groups(some)
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    for few in (0, nearcopies.FEW):
+        found = {r["doc_id"]: r["component_id"] for r in nearcopies.grouped(df, tile=32, few=few).collect()}
+        assert found == want
+    assert 1 < len(set(want.values())) < len(some)
+
+
+def test_common_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, size).astype(np.int64)) for size in (0, 1, 50, 5000, 8000, 8000)]
+    found = nearcopies._common(sets)
+    assert all(found[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
 
 
 def test_pipeline_whole(spark, oracle, tokenizer):

@@ -13,10 +13,12 @@ more. Texts with one set are one node.
 * Nodes of a key are sorted by size, cut into tiles of ``TILE`` and compared with numpy;
   tiles whose sizes rule out the similarity are skipped, pairs of tiles dealt to all tasks.
 * Candidates are verified on the sets themselves, and verified links alone make groups.
-  From tiles with very many candidates come only those that join their groups, nearest
-  first; further rounds try what lies between different groups and was not refuted, until
-  nothing is left. A large group of near copies thus gives pairs in proportion to its
-  members, and no candidate that could join two groups goes untried.
+  From pairs of tiles with many candidates come first only those that join their groups,
+  nearest first, so a large group of near copies gives pairs in proportion to its members.
+* What lies between different groups after that, and was not refuted, is settled where it
+  is: the sets of the nodes concerned are sent once to the place of their tiles, of at most
+  ``HASHES`` hashes a side and one set more, and compared there with all others. Only links
+  come out, at most one for each node of a place; no candidate goes untried.
 
 Nulls: a null text is empty; texts without words are one node. Null and repeated ids are
 treated as in ``simhash``.
@@ -49,7 +51,11 @@ FIRST = 22
 BANDS = 20
 ROWS = 4
 #: Candidates of a pair of tiles that are all given, for each node in it.
-FEW = 64
+FEW = 2
+#: Hashes (one set more at most) and nodes of one side of a place; columns multiplied at a time.
+HASHES = 1 << 18
+NODES = 1 << 10
+COLUMNS = 1 << 12
 #: Hashes whose bits are counted together, and rows that a task holds in Python at a time.
 TOGETHER = 1 << 12
 AT_ONCE = 256
@@ -212,8 +218,11 @@ class _Forest:
                 return
 
 
-def _candidates(one: dict, two: dict | None, least: float, few: int) -> tuple[list[tuple[int, int]], bool]:
-    """Candidates of two tiles (or of one), and whether some were left out."""
+def _near(one: dict, two: dict | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates of two tiles (or of one), in blocks: their columns, rows of ``one``, rows of ``two``.
+
+    The columns are distance, node, node, label, label.
+    """
     same = two is None
     two = one if same else two
     x, y = (np.frombuffer(t["bits"], np.uint64).reshape(-1, WORDS) for t in (one, two))
@@ -221,8 +230,6 @@ def _candidates(one: dict, two: dict | None, least: float, few: int) -> tuple[li
     la, lb = (np.frombuffer(t["labels"], np.int64) for t in (one, two))
     na, nb = (np.frombuffer(t["ns"], np.int64) for t in (one, two))
     refuted = np.concatenate([np.frombuffer(t["no"], _PAIR) for t in (one, two)])
-    most = few * (len(x) + (0 if same else len(y)))
-    held, n, forest = [], 0, None
     for i in range(0, len(x), 256):
         near = np.bitwise_count(x[i : i + 256, None, 0] ^ y[None, :, 0]) <= FIRST
         at, to = np.nonzero(near)
@@ -239,7 +246,16 @@ def _candidates(one: dict, two: dict | None, least: float, few: int) -> tuple[li
         if len(refuted) and found.shape[1]:
             pairs = np.empty(found.shape[1], _PAIR)
             pairs["a"], pairs["b"] = found[1], found[2]
-            found = found[:, ~np.isin(pairs, refuted)]
+            ok = ~np.isin(pairs, refuted)
+            found, at, to = found[:, ok], at[ok], to[ok]
+        yield found, at, to
+
+
+def _candidates(one: dict, two: dict | None, least: float, few: int) -> tuple[list[tuple[int, int]], bool]:
+    """Candidates of two tiles (or of one), and whether some were left out."""
+    most = few * sum(len(t["nodes"]) // 8 for t in (one, two) if t is not None)
+    held, n, forest = [], 0, None
+    for found, _, _ in _near(one, two, least):
         n += found.shape[1]
         if forest is None:
             held.append(found)
@@ -254,6 +270,79 @@ def _candidates(one: dict, two: dict | None, least: float, few: int) -> tuple[li
     return [pair for found in held for pair in zip(found[1].tolist(), found[2].tolist())], False
 
 
+def _sides(tile: dict, hashes: int) -> np.ndarray:
+    """Which part of the tile each node is in: at most ``NODES`` nodes, ``hashes`` hashes and one set more."""
+    ns = np.maximum(np.frombuffer(tile["ns"], np.int64), -(-hashes // NODES))
+    return (np.cumsum(ns) - ns) // hashes
+
+
+def _places(least: float, hashes: int):
+    """``place, node, label`` of the nodes that have candidates, a place for each two parts of tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for one, two in zip(batch.column(0), batch.column(1)):
+                one, two = one.as_py(), two.as_py()
+                other = one if two is None else two
+                p, q = _sides(one, hashes), _sides(other, hashes)
+                wide = int(q[-1]) + 1
+                wanted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                for _, at, to in _near(one, two, least):
+                    spot = p[at] * wide + q[to]
+                    for s in np.unique(spot).tolist():
+                        x, y = wanted.setdefault(s, (np.zeros(len(p), bool), np.zeros(len(q), bool)))
+                        x[at[spot == s]] = True
+                        y[to[spot == s]] = True
+                name = xxhash.xxh64_intdigest(one["nodes"] + other["nodes"], SEED)
+                for s, marked in wanted.items():
+                    nodes = np.concatenate([np.frombuffer(t["nodes"], np.int64)[m] for t, m in zip((one, other), marked)])
+                    labels = np.concatenate([np.frombuffer(t["labels"], np.int64)[m] for t, m in zip((one, other), marked)])
+                    place = xxhash.xxh64_intdigest(s.to_bytes(8, "little"), name)
+                    out.append((int(np.uint64(place).view(np.int64)), nodes, labels))
+            places = np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out])
+            nodes, labels = (np.concatenate([o[c] for o in out] or [np.empty(0, np.int64)]) for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(nodes), pa.array(labels)], names=["place", "node", "label"])
+
+    return run
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets have in common."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    column = np.cumsum(several) - 1
+    of, column = of[several[at]], column[at[several[at]]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(several.sum()), COLUMNS):
+        i, j = np.searchsorted(column, (start, start + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[of[i:j], column[i:j] - start] = 1
+        common += has @ has.T
+    return common
+
+
+def _settle(least: float):
+    def run(place: pa.Table) -> pa.Table:
+        members = place.column("members").combine_chunks()
+        ends, flat = members.offsets.to_numpy(), members.values.to_numpy()
+        sets = [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
+        nodes, labels = (place.column(c).to_numpy() for c in ("node", "label"))
+        sizes, common = np.array([len(x) for x in sets], np.float32), _common(sets)
+        alike = common >= least * (sizes[:, None] + sizes[None, :] - common) - 1e-9
+        at, to = np.nonzero(np.triu(alike & (labels[:, None] != labels[None, :]), 1))
+        forest = _Forest()
+        if len(at):
+            forest.add(np.stack([np.zeros(len(at), np.int64), nodes[at], nodes[to], labels[at], labels[to]]))
+        a, b = zip(*forest.kept) if forest.kept else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _compare(least: float, few: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,8 +360,8 @@ def _compare(least: float, few: int):
     return run
 
 
-def candidates(nodes: DataFrame, least: float = LEAST, tile: int = TILE, few: int = FEW) -> DataFrame:
-    """``a, b`` (``a`` below ``b``) of ``node, n, bits, keys, label, no``, each once; ``b`` is null for nodes that have candidates left out."""
+def tile_pairs(nodes: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
+    """``one, two`` (null: ``one`` with itself): tiles of ``node, n, bits, keys, label, no`` to compare."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "n", "bits", "label", "no")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # by ranges, so that a key with many nodes is cut over several tasks
@@ -290,15 +379,33 @@ def candidates(nodes: DataFrame, least: float = LEAST, tile: int = TILE, few: in
         .select("one", "two")
     )
     within = tiles.select(body.alias("one"), F.lit(None).cast(across.schema["two"].dataType).alias("two"))
-    return within.union(across).repartition(n).mapInArrow(_compare(least, few), "a long, b long").distinct()
+    return within.union(across).repartition(n)
+
+
+def candidates(nodes: DataFrame, least: float = LEAST, tile: int = TILE, few: int = FEW) -> DataFrame:
+    """``a, b`` (``a`` below ``b``) of ``node, n, bits, keys, label, no``, each once; ``b`` is null for nodes that have candidates left out."""
+    return tile_pairs(nodes, least, tile).mapInArrow(_compare(least, few), "a long, b long").distinct()
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``node, members`` of ``wanted`` (``node, first_id``), kept in the shared folder."""
+    _, texts = split(docs, F.xxhash64("doc_id"), cut(gate(wanted.select(F.xxhash64("first_id")))))
+    sets = texts.select("text").mapInArrow(_set_of(shingle), "node long, members array<long>").dropDuplicates(["node"])
+    return cut(sets.join(wanted.select("node"), "node", "left_semi"))
+
+
+def settled(nodes: DataFrame, docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, tile: int = TILE, hashes: int = HASHES) -> DataFrame:
+    """``a, b``: links that join different labels of ``nodes`` (with ``first_id``), by the sets of shingles."""
+    places = cut(tile_pairs(nodes, least, tile).mapInArrow(_places(least, hashes), "place long, node long, label long").distinct())
+    wanted = cut(places.select("node").distinct().join(nodes.select("node", "first_id"), "node"))
+    given = places.join(sets_of(wanted, docs, shingle), "node")
+    return cut(given.groupBy("place").applyInArrow(_settle(least), "a long, b long").distinct())
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
     """``a, b, alike`` by the sets of shingles; ``docs``: ``doc_id, text``."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node"))
-    _, texts = split(docs, F.xxhash64("doc_id"), cut(gate(wanted.select(F.xxhash64("first_id")))))
-    sets = texts.select("text").mapInArrow(_set_of(shingle), "node long, members array<long>").dropDuplicates(["node"])
-    sets = cut(sets.join(wanted.select("node"), "node", "left_semi"))
+    sets = sets_of(wanted, docs, shingle)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b"
     )
@@ -307,28 +414,27 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float =
 
 
 def grouped(
-    docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, tile: int = TILE, few: int = FEW, most_hot: int = MOST_HOT
+    docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, tile: int = TILE, few: int = FEW, most_hot: int = MOST_HOT,
+    hashes: int = HASHES,
 ) -> DataFrame:
     """``doc_id, node, component_id, keep_node`` of each row of ``docs`` (``doc_id, text``)."""
     rows = cut(docs.mapInArrow(_sketch(shingle), "doc_id long, node long, n long, bits binary, keys array<long>"))
     same = [F.first(c).alias(c) for c in ("n", "bits", "keys")]
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *same))
-    labels, tried = None, None
-    now = nodes.withColumn("label", F.col("node")).withColumn("no", F.lit(None).cast("array<long>"))
-    while True:
-        found = cut(candidates(now, least, tile, few))
-        pairs = found.where("b IS NOT NULL")
-        if pairs.isEmpty():
-            break
+    found = cut(candidates(nodes.withColumn("label", F.col("node")).withColumn("no", F.lit(None).cast("array<long>")), least, tile, few))
+    pairs, labels = found.where("b IS NOT NULL"), None
+    if not pairs.isEmpty():
         judged = cut(verified(pairs, nodes, docs, least, shingle))
-        tried = judged if tried is None else tried.union(judged)
-        labels = cut(components(tried.where("alike").select("a", "b")).select("node", F.col("least").alias("label")))
-        left = found.where("b IS NULL").select(F.col("a").alias("node")).distinct()
-        if left.isEmpty():
-            break
-        # only nodes with candidates left out take part again
-        refuted = tried.where("NOT alike").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no"))
-        now = left.join(nodes, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(refuted, "node", "left")
+        links = judged.where("alike").select("a", "b")
+        labels = cut(components(links).select("node", F.col("least").alias("label")))
+        left = found.where("b IS NULL").select(F.col("a").alias("node"))
+        if not left.isEmpty():
+            # only nodes with candidates left out take part again
+            refuted = judged.where("NOT alike").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no"))
+            open_nodes = left.join(nodes, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            more = settled(open_nodes.join(refuted, "node", "left"), docs, least, shingle, tile, hashes)
+            if not more.isEmpty():
+                labels = cut(components(links.union(more)).select("node", F.col("least").alias("label")))
     of_node = nodes.select("node", "first_id", "copies")
     if labels is None:
         of_node = of_node.withColumn("label", F.col("node"))
