@@ -70,6 +70,30 @@ def test_pipeline_stage_removes_edited_copies(spark, edited):
     assert kept == set(want.values())
 
 
+def test_candidates_are_all_pairs_within_the_radius(spark, edited):
+    """SimHash alone makes candidates: all with all gives the same pairs, whatever the blocks and tiles."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    sets = {nearcopies.sign(h): h for h in (nearcopies.shingles(t.encode()) for _, t in edited)}
+    rows = [(node, len(h), *np.frombuffer(nearcopies.bits_of(h), np.int64).tolist()) for node, h in sets.items()]
+    for node in range(60):  # fingerprints without a common text, near ones and complements among them
+        flips = np.packbits(rng.permutation(256) < (node % 4) * 64 + node // 30)
+        rows.append((node, 40, *(np.frombuffer(flips.tobytes(), np.int64)).tolist()))
+    bits = [np.array(r[2:], np.int64).view(np.uint64) for r in rows]
+    want = set()
+    for i, r in enumerate(rows):
+        for j, o in enumerate(rows[:i]):
+            near = int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= nearcopies.RADIUS
+            if near and min(r[1], o[1]) >= 0.8 * max(r[1], o[1]) - 1e-9:
+                want.add((min(r[0], o[0]), max(r[0], o[0])))
+    names = "node long, n long, bits0 long, bits1 long, bits2 long, bits3 long"
+    for tile in (16, 2048):
+        placed = nearcopies.blocks(spark.createDataFrame(rows, names), tile).selectExpr("*", "node AS label")
+        found = nearcopies.candidates(placed, nearcopies.cells(placed), tile=tile, few=len(rows)).collect()
+        assert len(found) == len(want) > 700 and {(r["a"], r["b"]) for r in found} == want
+
+
 def test_small_tiles_and_places_lose_nothing(spark, edited):
     some = edited[:120]
     rng = random.Random(2)

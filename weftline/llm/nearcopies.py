@@ -3,20 +3,23 @@
 Two texts link where the Jaccard similarity of their sets of word shingles is ``LEAST`` or
 more. Texts with one set are one node.
 
-* A SimHash of 256 bits stands for each set. At similarity 0.8 two of them differ in 39
-  bits on average (deviation 6); pairs of up to ``RADIUS`` bits are candidates, and of
-  these up to ``FIRST`` in the first 64 (10 on average, deviation 3).
-* Narrow SimHash parts do not reach so far: 64 bits at 14 and more differing bits leave
-  parts of four bits, which is all with all. So candidates are sought among nodes with a
-  common key: ``BANDS`` keys of ``ROWS`` least hashes each. A pair at 0.8 has no common key
-  in 3 of 100,000 cases, a nearer one more seldom.
-* Nodes of a key are sorted by size, cut into tiles of ``TILE`` and compared with numpy;
-  tiles whose sizes rule out the similarity are skipped, pairs of tiles dealt to all tasks.
+* A SimHash of 256 bits stands for each set, the majority of each bit over its shingles. At
+  similarity 0.8 two of them differ in 39 bits on average (deviation 6; at most 48, for sets
+  of four and five); pairs of up to ``RADIUS`` bits are candidates, and no others.
+* No pair within the radius is missed. Narrow parts that two such fingerprints must share do
+  not exist (64 bits at 14 and more differing bits leave parts of four bits, which is all
+  with all), so fingerprints are compared by tiles: nodes stand in order of size and are cut
+  into blocks; each two blocks whose sizes allow the similarity are a cell, and cells are
+  dealt to all tasks.
+* In a cell, tiles of ``tile`` nodes of like size are sorted by population count and compared
+  by exclusive-or and bit count. Tiles whose sizes rule out the similarity and rows whose
+  population counts differ by more than the radius are skipped.
 * Candidates are verified on the sets themselves, and verified links alone make groups.
-  From pairs of tiles with many candidates come first only those that join their groups,
-  nearest first, so a large group of near copies gives pairs in proportion to its members.
+  Blocks are compared with themselves first, then with others, for pairs of different groups
+  only. From cells with many candidates come only those that join their groups, nearest
+  first, so a large group of near copies gives pairs in proportion to its members.
 * What lies between different groups after that, and was not refuted, is settled where it
-  is: the sets of the nodes concerned are sent once to the place of their tiles, of at most
+  is: the sets of the nodes concerned are sent once to a place of their cell, of at most
   ``HASHES`` hashes a side and one set more, and compared there with all others. Only links
   come out, at most one for each node of a place; no candidate goes untried.
 
@@ -31,8 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,16 +44,19 @@ from weftline.llm.survivors import surviving
 from weftline.llm.tokens import release
 from weftline.operators.components import components
 from weftline.operators.skew import MOST_HOT, gate, joined, split
+from weftline.operators.table import numbered
 from weftline.session import cut
 
 SHINGLE = 5
 LEAST = 0.8
 WORDS = 4
 RADIUS = 64
-FIRST = 22
-BANDS = 20
-ROWS = 4
-#: Candidates of a pair of tiles that are all given, for each node in it.
+#: Nodes of a block: a ``SIDES``-th of all, so that there is work to deal out, ``BLOCK`` at most.
+SIDES = 16
+BLOCK = 1 << 16
+#: Rows of a tile compared at a time.
+ROWS = 64
+#: Candidates of a cell that are all given, for each node in it.
 FEW = 2
 #: Hashes (one set more at most) and nodes of one side of a place; columns multiplied at a time.
 HASHES = 1 << 18
@@ -59,7 +65,7 @@ COLUMNS = 1 << 12
 #: Hashes whose bits are counted together, and rows that a task holds in Python at a time.
 TOGETHER = 1 << 12
 AT_ONCE = 256
-_TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BITS = [f"bits{w}" for w in range(WORDS)]
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -96,16 +102,6 @@ def bits_of(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
-def keys_of(hashes: np.ndarray) -> list[int]:
-    if not len(hashes):
-        return []
-    least = np.full(len(_TIMES), np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 1 << 10):
-        least = np.minimum(least, (hashes[None, i : i + (1 << 10)] * _TIMES[:, None]).min(axis=1))
-    made = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return np.array(made, np.uint64).view(np.int64).tolist()
-
-
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, AT_ONCE):
@@ -116,14 +112,14 @@ def _sketch(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in _parts(batches):
-            rows = []
+            rows, bits = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 h = shingles(text or b"", shingle)
-                rows.append((sign(h), len(h), bits_of(h), keys_of(h)))
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            made = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "node", "n", "bits", "keys"])
+                rows.append((sign(h), len(h)))
+                bits.append(bits_of(h))
+            words = np.frombuffer(b"".join(bits), np.int64).reshape(-1, WORDS)
+            columns = [*np.array(rows, np.int64).reshape(-1, 2).T, *words.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "node", "n", *_BITS])
 
     return run
 
@@ -138,54 +134,6 @@ def _set_of(shingle: int):
     return run
 
 
-TILES = "key long, tile long, low long, high long, nodes binary, ns binary, bits binary, labels binary, no binary"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-_NAMES = ["key", "tile", "low", "high", "nodes", "ns", "bits", "labels", "no"]
-
-
-def _tiler(tile: int):
-    """Tiles of each key's nodes, numbered by task; keys with a single one are left out.
-
-    A key at either end of a task's rows may go on in the next task, so it stays.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tiles, held = None, 0, []
-        number, keys = TaskContext.get().partitionId() << 32, 0
-
-        def close(out: list, last: bool = False) -> None:
-            nonlocal tiles, held, number
-            if len(held) > 1 or held and (tiles or keys == 1 or last):
-                nodes, ns, bits, labels, no = zip(*held)
-                whole = [np.array(x, np.int64).tobytes() for x in (nodes, ns, labels)]
-                refuted = np.array([(a, b) for a, others in zip(nodes, no) for b in others or ()], _PAIR).tobytes()
-                out.append((key, number, ns[0], ns[-1], whole[0], whole[1], b"".join(bits), whole[2], refuted))
-                tiles += 1
-                number += 1
-            held = []
-
-        def made(out: list) -> pa.RecordBatch:
-            columns = list(zip(*out)) or [[]] * len(_KINDS)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
-
-        for batch in batches:
-            out: list = []
-            for now, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if key != now:
-                    close(out)
-                    key, tiles, keys = now, 0, keys + 1
-                elif len(held) >= tile:
-                    close(out)
-                held.append(row)
-            yield made(out)
-        out = []
-        if key is not None:
-            close(out, last=True)
-        yield made(out)
-
-    return run
-
-
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 
 
@@ -218,91 +166,142 @@ class _Forest:
                 return
 
 
-def _near(one: dict, two: dict | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Candidates of two tiles (or of one), in blocks: their columns, rows of ``one``, rows of ``two``.
+def _side(rows: pa.Table, tile: int) -> dict[str, np.ndarray]:
+    """The nodes of a block by tiles of like size, those of a tile by population count."""
+    nodes, ns, labels = (rows.column(c).to_numpy() for c in ("node", "n", "label"))
+    bits = np.stack([rows.column(c).to_numpy() for c in _BITS]).view(np.uint64)
+    pops = np.bitwise_count(bits).sum(axis=0, dtype=np.int64)
+    order = np.lexsort((nodes, ns))
+    order = order[np.lexsort((pops[order], np.arange(len(order)) // tile))]
+    side = {"nodes": nodes[order], "ns": ns[order], "labels": labels[order], "pops": pops[order], "bits": np.ascontiguousarray(bits[:, order])}
+    refuted = np.empty(0, _PAIR)
+    if "no" in rows.column_names:
+        others = rows.column("no").combine_chunks()
+        refuted = np.empty(len(others.flatten()), _PAIR)
+        refuted["a"], refuted["b"] = nodes[pc.list_parent_indices(others).to_numpy()], others.flatten().to_numpy()
+    return side | {"no": refuted}
+
+
+def _sides(cell: pa.Table, tile: int) -> tuple[dict, dict | None]:
+    """The two blocks of a cell (null: the first with itself)."""
+    one, two = cell.column("one")[0].as_py(), cell.column("two")[0].as_py()
+    first = _side(cell.filter(pc.equal(cell.column("block"), one)), tile)
+    return first, None if one == two else _side(cell.filter(pc.equal(cell.column("block"), two)), tile)
+
+
+def _tile_pairs(one: dict, two: dict, same: bool, least: float, tile: int) -> Iterator[tuple[slice, slice]]:
+    """Rows of ``one`` and of ``two``, a few of the one at a time, that sizes and population counts let meet."""
+    for i in range(0, len(one["nodes"]), tile):
+        ns = one["ns"][i : i + tile]
+        for j in range(i if same else 0, len(two["nodes"]), tile):
+            ms = two["ns"][j : j + tile]
+            if ns.max() < least * ms.min() - 1e-9 or ms.max() < least * ns.min() - 1e-9:
+                continue
+            pops = two["pops"][j : j + tile]
+            for k in range(i, min(i + tile, len(one["nodes"])), ROWS):
+                some = one["pops"][k : min(k + ROWS, i + tile)]
+                low, high = np.searchsorted(pops, (some[0] - RADIUS, some[-1] + RADIUS + 1))
+                if low < high:
+                    yield slice(k, k + len(some)), slice(j + low, j + high)
+
+
+def _near(one: dict, two: dict | None, least: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates of two blocks (or of one), in parts: their columns, rows of ``one``, rows of ``two``.
 
     The columns are distance, node, node, label, label.
     """
     same = two is None
     two = one if same else two
-    x, y = (np.frombuffer(t["bits"], np.uint64).reshape(-1, WORDS) for t in (one, two))
-    a, b = (np.frombuffer(t["nodes"], np.int64) for t in (one, two))
-    la, lb = (np.frombuffer(t["labels"], np.int64) for t in (one, two))
-    na, nb = (np.frombuffer(t["ns"], np.int64) for t in (one, two))
-    refuted = np.concatenate([np.frombuffer(t["no"], _PAIR) for t in (one, two)])
-    for i in range(0, len(x), 256):
-        near = np.bitwise_count(x[i : i + 256, None, 0] ^ y[None, :, 0]) <= FIRST
-        at, to = np.nonzero(near)
-        at += i
-        ok = (np.minimum(na[at], nb[to]) >= least * np.maximum(na[at], nb[to]) - 1e-9) & (la[at] != lb[to])
+    refuted = np.concatenate([one["no"], two["no"]])
+    for rows, columns in _tile_pairs(one, two, same, least, tile):
+        apart = np.bitwise_count(one["bits"][0, rows, None] ^ two["bits"][0, columns]).astype(np.uint16)
+        for w in range(1, WORDS):
+            apart += np.bitwise_count(one["bits"][w, rows, None] ^ two["bits"][w, columns])
+        spot = np.flatnonzero(apart <= RADIUS)
+        if not len(spot):
+            continue
+        at, to = np.divmod(spot, apart.shape[1])
+        at, to, apart = at + rows.start, to + columns.start, apart.ravel()[spot].astype(np.int64)
+        na, nb, la, lb = one["ns"][at], two["ns"][to], one["labels"][at], two["labels"][to]
+        ok = (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-9) & (la != lb)
         if same:
             ok &= at < to
-        at, to = at[ok], to[ok]
-        apart = np.bitwise_count(x[at] ^ y[to]).sum(axis=1, dtype=np.int64)
-        ok = apart <= RADIUS
-        at, to, apart = at[ok], to[ok], apart[ok]
-        turned = a[at] > b[to]
-        found = np.stack([apart, np.where(turned, b[to], a[at]), np.where(turned, a[at], b[to]), np.where(turned, lb[to], la[at]), np.where(turned, la[at], lb[to])])
+        at, to, apart, la, lb = at[ok], to[ok], apart[ok], la[ok], lb[ok]
+        a, b = one["nodes"][at], two["nodes"][to]
+        turned = a > b
+        found = np.stack([apart, np.where(turned, b, a), np.where(turned, a, b), np.where(turned, lb, la), np.where(turned, la, lb)])
         if len(refuted) and found.shape[1]:
             pairs = np.empty(found.shape[1], _PAIR)
             pairs["a"], pairs["b"] = found[1], found[2]
             ok = ~np.isin(pairs, refuted)
             found, at, to = found[:, ok], at[ok], to[ok]
-        yield found, at, to
+        if len(at):
+            yield found, at, to
+
+
+def _compare(least: float, few: int, tile: int):
+    """``a, b``: candidates of a cell; where some are left out, also the nodes that have any, without ``b``."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        one, two = _sides(cell, tile)
+        most = few * sum(len(side["nodes"]) for side in (one, two) if side is not None)
+        other = one if two is None else two
+        held, n, forest = [], 0, None
+        ahead, behind = (np.zeros(len(side["nodes"]), bool) for side in (one, other))
+        for found, at, to in _near(one, two, least, tile):
+            n += found.shape[1]
+            ahead[at] = behind[to] = True
+            if forest is None:
+                held.append(found)
+                if n > most:
+                    forest = _Forest()
+                    forest.add(np.concatenate(held, axis=1))
+                    held = []
+            else:
+                forest.add(found)
+        if forest is None:
+            kept = np.concatenate([np.empty((5, 0), np.int64), *held], axis=1)[1:3]
+            return pa.table({"a": kept[0], "b": kept[1]})
+        kept = np.array(forest.kept, np.int64).reshape(-1, 2)
+        seen = np.concatenate([one["nodes"][ahead], other["nodes"][behind]])
+        b = np.concatenate([kept[:, 1], np.zeros_like(seen)])
+        return pa.table({"a": np.concatenate([kept[:, 0], seen]), "b": pa.array(b, mask=np.arange(len(b)) >= len(kept))})
 
+    return run
 
-def _candidates(one: dict, two: dict | None, least: float, few: int) -> tuple[list[tuple[int, int]], bool]:
-    """Candidates of two tiles (or of one), and whether some were left out."""
-    most = few * sum(len(t["nodes"]) // 8 for t in (one, two) if t is not None)
-    held, n, forest = [], 0, None
-    for found, _, _ in _near(one, two, least):
-        n += found.shape[1]
-        if forest is None:
-            held.append(found)
-            if n > most:
-                forest = _Forest()
-                forest.add(np.concatenate(held, axis=1))
-                held = []
-        elif found.shape[1]:
-            forest.add(found)
-    if forest is not None:
-        return forest.kept, True
-    return [pair for found in held for pair in zip(found[1].tolist(), found[2].tolist())], False
-
-
-def _sides(tile: dict, hashes: int) -> np.ndarray:
-    """Which part of the tile each node is in: at most ``NODES`` nodes, ``hashes`` hashes and one set more."""
-    ns = np.maximum(np.frombuffer(tile["ns"], np.int64), -(-hashes // NODES))
+
+def _shares(side: dict, hashes: int) -> np.ndarray:
+    """Which part of the block each node is in: at most ``NODES`` nodes, ``hashes`` hashes and one set more."""
+    ns = np.maximum(side["ns"], -(-hashes // NODES))
     return (np.cumsum(ns) - ns) // hashes
 
 
-def _places(least: float, hashes: int):
-    """``place, node, label`` of the nodes that have candidates, a place for each two parts of tiles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, np.ndarray, np.ndarray]] = []
-            for one, two in zip(batch.column(0), batch.column(1)):
-                one, two = one.as_py(), two.as_py()
-                other = one if two is None else two
-                p, q = _sides(one, hashes), _sides(other, hashes)
-                wide = int(q[-1]) + 1
-                wanted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-                for _, at, to in _near(one, two, least):
-                    spot = p[at] * wide + q[to]
-                    for s in np.unique(spot).tolist():
-                        x, y = wanted.setdefault(s, (np.zeros(len(p), bool), np.zeros(len(q), bool)))
-                        x[at[spot == s]] = True
-                        y[to[spot == s]] = True
-                name = xxhash.xxh64_intdigest(one["nodes"] + other["nodes"], SEED)
-                for s, marked in wanted.items():
-                    nodes = np.concatenate([np.frombuffer(t["nodes"], np.int64)[m] for t, m in zip((one, other), marked)])
-                    labels = np.concatenate([np.frombuffer(t["labels"], np.int64)[m] for t, m in zip((one, other), marked)])
-                    place = xxhash.xxh64_intdigest(s.to_bytes(8, "little"), name)
-                    out.append((int(np.uint64(place).view(np.int64)), nodes, labels))
-            places = np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out])
-            nodes, labels = (np.concatenate([o[c] for o in out] or [np.empty(0, np.int64)]) for c in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(nodes), pa.array(labels)], names=["place", "node", "label"])
+def _places(least: float, hashes: int, tile: int):
+    """``place, node, label`` of the nodes that have candidates, a place for each two parts of a cell's blocks."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        one, two = _sides(cell, tile)
+        other = one if two is None else two
+        p, q = _shares(one, hashes), _shares(other, hashes)
+        wide = int(q.max()) + 1
+        wanted: list[np.ndarray] = []
+        held = 0
+        for _, at, to in _near(one, two, least, tile):
+            spot = p[at] * wide + q[to]
+            pairs = np.empty(2 * len(at), _PAIR)
+            pairs["a"] = np.concatenate([spot, spot])
+            pairs["b"] = np.concatenate([at, len(p) + to])
+            wanted.append(np.unique(pairs))
+            held += len(wanted[-1])
+            if held > 1 << 20:
+                wanted = [np.unique(np.concatenate(wanted))]
+                held = len(wanted[0]) // 2
+        found = np.unique(np.concatenate([np.empty(0, _PAIR), *wanted]))
+        nodes, labels = (np.concatenate([one[c], other[c]])[found["b"]] for c in ("nodes", "labels"))
+        name = [cell.column("one")[0].as_py(), cell.column("two")[0].as_py()]
+        spots, back = np.unique(found["a"], return_inverse=True)
+        names = [xxhash.xxh64_intdigest(np.array([*name, s], np.int64).tobytes(), SEED) for s in spots.tolist()]
+        return pa.table({"place": np.array(names, np.uint64).view(np.int64)[back], "node": nodes, "label": labels})
 
     return run
 
@@ -343,48 +342,36 @@ def _settle(least: float):
     return run
 
 
-def _compare(least: float, few: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs: dict = {}
-            for one, two in zip(batch.column(0), batch.column(1)):
-                one, two = one.as_py(), two.as_py()
-                found, cut_short = _candidates(one, two, least, few)
-                pairs.update(dict.fromkeys(found))
-                if cut_short:
-                    open_nodes = np.concatenate([np.frombuffer(t["nodes"], np.int64) for t in (one, two) if t is not None])
-                    pairs.update(dict.fromkeys((node, None) for node in open_nodes.tolist()))
-            a, b = zip(*pairs) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def blocks(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """``nodes`` (``node, n`` and more) with ``block``, cut from their order by size; kept in the shared folder."""
+    side = min(BLOCK, max(tile, -(-nodes.count() // SIDES)))
+    return cut(numbered(nodes, F.col("n"), F.col("node"), name="_place").withColumn("block", F.expr(f"_place div {side}")).drop("_place"))
 
-    return run
 
+def cells(placed: DataFrame, least: float = LEAST) -> DataFrame:
+    """``one, two``: each two blocks (a block with itself too) whose sizes allow the similarity."""
+    spans = placed.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = spans.select(F.col("block").alias("one"), "high"), spans.select(F.col("block").alias("two"), "low")
+    # one row for each block
+    met = one.join(F.broadcast(two), (F.col("one") <= F.col("two")) & (F.col("low") * least <= F.col("high") + 1e-9))
+    return cut(met.select("one", "two"))
 
-def tile_pairs(nodes: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
-    """``one, two`` (null: ``one`` with itself): tiles of ``node, n, bits, keys, label, no`` to compare."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "n", "bits", "label", "no")
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # by ranges, so that a key with many nodes is cut over several tasks
-    ordered = keyed.repartitionByRange(n, "key", "n", "node").sortWithinPartitions("key", "n", "node")
-    tiles = cut(ordered.mapInArrow(_tiler(tile), TILES))
-    body = F.struct("nodes", "ns", "bits", "labels", "no")
-    # pairs are made of numbers alone, dealt out, and only then given their nodes
-    lean = tiles.select("key", "tile", "high")
-    ahead = tiles.select("key", F.col("tile").alias("two"), "low")
-    pairs = lean.join(ahead, "key").where(F.col("tile") < F.col("two")).where(F.col("low") * least <= F.col("high") + 1e-9)
-    across = (
-        pairs.select(F.col("tile").alias("_one"), F.col("two").alias("_two")).repartition(n)
-        .join(tiles.select(F.col("tile").alias("_one"), body.alias("one")), "_one")
-        .join(tiles.select(F.col("tile").alias("_two"), body.alias("two")), "_two")
-        .select("one", "two")
-    )
-    within = tiles.select(body.alias("one"), F.lit(None).cast(across.schema["two"].dataType).alias("two"))
-    return within.union(across).repartition(n)
+
+def _by_cell(placed: DataFrame, grid: DataFrame):
+    """``placed`` grouped by the cells of ``grid``."""
+    met = grid.select(F.explode(F.array_distinct(F.array("one", "two"))).alias("block"), "one", "two")
+    return placed.join(F.broadcast(met), "block").groupBy("one", "two")
 
 
-def candidates(nodes: DataFrame, least: float = LEAST, tile: int = TILE, few: int = FEW) -> DataFrame:
-    """``a, b`` (``a`` below ``b``) of ``node, n, bits, keys, label, no``, each once; ``b`` is null for nodes that have candidates left out."""
-    return tile_pairs(nodes, least, tile).mapInArrow(_compare(least, few), "a long, b long").distinct()
+def candidates(placed: DataFrame, grid: DataFrame, least: float = LEAST, tile: int = TILE, few: int = FEW) -> DataFrame:
+    """``a, b`` (``a`` below ``b``) of ``node, n, bits.., label, block``; ``b`` is null for nodes that have candidates left out."""
+    return _by_cell(placed, grid).applyInArrow(_compare(least, few, tile), "a long, b long").distinct()
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return nodes.withColumn("label", F.col("node"))
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -396,7 +383,9 @@ def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataF
 
 def settled(nodes: DataFrame, docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, tile: int = TILE, hashes: int = HASHES) -> DataFrame:
     """``a, b``: links that join different labels of ``nodes`` (with ``first_id``), by the sets of shingles."""
-    places = cut(tile_pairs(nodes, least, tile).mapInArrow(_places(least, hashes), "place long, node long, label long").distinct())
+    placed = blocks(nodes, tile)
+    found = _by_cell(placed, cells(placed, least)).applyInArrow(_places(least, hashes, tile), "place long, node long, label long")
+    places = cut(found.distinct())
     wanted = cut(places.select("node").distinct().join(nodes.select("node", "first_id"), "node"))
     given = places.join(sets_of(wanted, docs, shingle), "node")
     return cut(given.groupBy("place").applyInArrow(_settle(least), "a long, b long").distinct())
@@ -418,28 +407,30 @@ def grouped(
     hashes: int = HASHES,
 ) -> DataFrame:
     """``doc_id, node, component_id, keep_node`` of each row of ``docs`` (``doc_id, text``)."""
-    rows = cut(docs.mapInArrow(_sketch(shingle), "doc_id long, node long, n long, bits binary, keys array<long>"))
-    same = [F.first(c).alias(c) for c in ("n", "bits", "keys")]
+    bits = ", ".join(f"{w} long" for w in _BITS)
+    rows = cut(docs.mapInArrow(_sketch(shingle), f"doc_id long, node long, n long, {bits}"))
+    same = [F.first(c).alias(c) for c in ("n", *_BITS)]
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *same))
-    found = cut(candidates(nodes.withColumn("label", F.col("node")).withColumn("no", F.lit(None).cast("array<long>")), least, tile, few))
-    pairs, labels = found.where("b IS NOT NULL"), None
-    if not pairs.isEmpty():
-        judged = cut(verified(pairs, nodes, docs, least, shingle))
-        links = judged.where("alike").select("a", "b")
-        labels = cut(components(links).select("node", F.col("least").alias("label")))
-        left = found.where("b IS NULL").select(F.col("a").alias("node"))
-        if not left.isEmpty():
-            # only nodes with candidates left out take part again
-            refuted = judged.where("NOT alike").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no"))
-            open_nodes = left.join(nodes, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            more = settled(open_nodes.join(refuted, "node", "left"), docs, least, shingle, tile, hashes)
-            if not more.isEmpty():
-                labels = cut(components(links.union(more)).select("node", F.col("least").alias("label")))
-    of_node = nodes.select("node", "first_id", "copies")
-    if labels is None:
-        of_node = of_node.withColumn("label", F.col("node"))
-    else:
-        of_node = of_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = blocks(nodes.select("node", "n", *_BITS), tile)
+    grid = cells(placed, least)
+    judged = labels = left = None
+    for some in (grid.where("one = two"), grid.where("one < two")):
+        found = cut(candidates(_labelled(placed, labels), some, least, tile, few))
+        pairs = found.where("b IS NOT NULL")
+        if pairs.isEmpty():
+            continue
+        now, open_now = cut(verified(pairs, nodes, docs, least, shingle)), found.where("b IS NULL").select(F.col("a").alias("node"))
+        judged, left = (now, open_now) if judged is None else (judged.union(now), left.union(open_now))
+        labels = cut(components(judged.where("alike").select("a", "b")).select("node", F.col("least").alias("label")))
+    if left is not None and not left.isEmpty():
+        # only nodes with candidates left out take part again
+        refuted = judged.where("NOT alike").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no"))
+        open_nodes = _labelled(left.distinct().join(nodes, "node"), labels).join(refuted, "node", "left")
+        more = settled(cut(open_nodes), docs, least, shingle, tile, hashes)
+        if not more.isEmpty():
+            links = judged.where("alike").select("a", "b").union(more)
+            labels = cut(components(links).select("node", F.col("least").alias("label")))
+    of_node = _labelled(nodes.select("node", "first_id", "copies"), labels)
     of_node = cut(of_node)
     best = of_node.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("best"))
     best = best.select("label", "n", F.col("best.first_id").alias("component_id"), F.col("best.node").alias("keep_node"))
