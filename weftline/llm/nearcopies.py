@@ -214,14 +214,18 @@ def _near(one: dict, two: dict | None, least: float, tile: int) -> Iterator[tupl
     two = one if same else two
     refuted = np.concatenate([one["no"], two["no"]])
     for rows, columns in _tile_pairs(one, two, same, least, tile):
-        apart = np.bitwise_count(one["bits"][0, rows, None] ^ two["bits"][0, columns]).astype(np.uint16)
-        for w in range(1, WORDS):
+        # all words but the last (192 bits, which a byte counts) rule out nearly all pairs; the last is looked at for the rest
+        apart = np.bitwise_count(one["bits"][0, rows, None] ^ two["bits"][0, columns])
+        for w in range(1, WORDS - 1):
             apart += np.bitwise_count(one["bits"][w, rows, None] ^ two["bits"][w, columns])
         spot = np.flatnonzero(apart <= RADIUS)
         if not len(spot):
             continue
         at, to = np.divmod(spot, apart.shape[1])
-        at, to, apart = at + rows.start, to + columns.start, apart.ravel()[spot].astype(np.int64)
+        at, to = at + rows.start, to + columns.start
+        apart = apart.ravel()[spot].astype(np.int64) + np.bitwise_count(one["bits"][-1, at] ^ two["bits"][-1, to])
+        near = apart <= RADIUS
+        at, to, apart = at[near], to[near], apart[near]
         na, nb, la, lb = one["ns"][at], two["ns"][to], one["labels"][at], two["labels"][to]
         ok = (np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-9) & (la != lb)
         if same:
