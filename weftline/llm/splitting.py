@@ -100,22 +100,18 @@ class Splitter:
     def __init__(self, classes: Classes):
         self.kinds = classes.table()
 
-    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The words of all texts, and how many each text has."""
+    def places(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+        """All texts joined, the places at which words start there, and how many words each text has."""
         joined = "".join(texts)
         if not joined:
-            return [], np.zeros(len(texts), np.int64)
+            return joined, np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
         ends = np.cumsum([len(t) for t in texts])
         first = np.zeros(len(codes) + 1, bool)
         first[0] = True
         first[ends] = True
         starts = word_starts(codes, self.kinds[codes], first[:-1])
-        places = starts.tolist()
-        places.append(len(codes))
-        words = [joined[a:b] for a, b in zip(places, places[1:])]
-        counts = np.diff(np.searchsorted(starts, ends), prepend=0)
-        return words, counts
+        return joined, starts, np.diff(np.searchsorted(starts, ends), prepend=0)
 
     def cuts(self, text: str) -> list[str]:
         """A long text in parts of about ``TOGETHER`` characters, cut before blanks that start a word."""
